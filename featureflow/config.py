@@ -8,6 +8,9 @@ from dataclasses import dataclass
 Z_CUT = 1.645
 LOG_EPS = 2.2250738585072014e-308
 
+# The regularisation strengths tried by cross-validation.
+REG_PARAMS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
 
 @dataclass(frozen=True)
 class Config:
@@ -17,6 +20,7 @@ class Config:
     unbalanced_threshold: float = 10.0
     z_cut: float = Z_CUT
     log_eps: float = LOG_EPS
+    inline_rare: int = 1_000
     category_convert: bool = False
     cat_transform: bool = False
     scale_data: bool = False
@@ -29,6 +33,7 @@ class Config:
     num_splits: int = 5
     seed: int = 1
     parallelism: int = 4
+    reg_params: tuple[float, ...] = REG_PARAMS
     svm_reg_param: float = 0.01
     gbt_depth: int = 5
     gbt_learn_rate: float = 0.1

@@ -2,7 +2,7 @@
 
 The score of rank i among n is m(i) = quantile((i - 3/8) / (n + 1/4)). Sums of scores over
 a run of tied ranks are needed for the Shapiro-Wilk statistic. Instead of expanding a tied
-run into its rows, `with_cumulative_score` gives sum(m(1..r)) in constant time: the first TAIL
+run into its rows, `with_cumulative_scores` gives sum(m(1..r)) in constant time: the first TAIL
 ranks are added up directly and the rest uses the midpoint Euler-Maclaurin formula, whose
 remaining error beyond rank 32 is below 1e-10.
 """
@@ -10,10 +10,10 @@ remaining error beyond rank 32 is below 1e-10.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 TAIL = 32
 
@@ -52,40 +52,13 @@ _ROOT_TWO_PI = math.sqrt(2.0 * math.pi)
 _NORMAL = NormalDist()
 
 
-def _horner(coefficients, x: Column) -> Column:
-    out = F.lit(coefficients[-1])
+def _horner(coefficients, x: str) -> str:
+    out = f"{coefficients[-1]!r}D"
     for c in reversed(coefficients[:-1]):
-        out = out * x + F.lit(c)
+        out = f"({out} * {x} + {c!r}D)"
     return out
 
 
-def with_lower_quantile(df: DataFrame, p: Column, out: str) -> DataFrame:
-    """Append the standard normal quantile of 0 < p <= 1/2.
-
-    The argument of the polynomials is a column of its own, declared free of nulls: written inline it
-    would be repeated in every Horner step, and with null checks in each step the generated method
-    would outgrow the size the JVM compiles to machine code.
-    """
-    tmp = f"{out}_p", f"{out}_r", f"{out}_s"
-    p_, r_, s_ = (F.col(t) for t in tmp)
-    never_null = F.lit(0.0)
-    return (
-        df.withColumn(tmp[0], F.coalesce(p, F.lit(0.5)))
-        .withColumn(tmp[1], F.coalesce(F.sqrt(-F.ln(p_)), never_null))
-        .withColumn(
-            tmp[2],
-            F.when(p_ >= 0.075, 0.180625 - (p_ - 0.5) * (p_ - 0.5)).when(r_ <= 5.0, r_ - 1.6).otherwise(r_ - 5.0),
-        )
-        .withColumn(
-            out,
-            F.when(p_ >= 0.075, (p_ - 0.5) * _horner(CENTRAL_NUM, s_) / _horner(CENTRAL_DEN, s_))
-            .when(r_ <= 5.0, -_horner(MIDDLE_NUM, s_) / _horner(MIDDLE_DEN, s_))
-            .otherwise(-_horner(FAR_NUM, s_) / _horner(FAR_DEN, s_)),
-        )
-        .drop(*tmp)
-    )
-
-
 def score(i: int, n: int) -> float:
     """m(i) for one rank."""
     return _NORMAL.inv_cdf((i - 0.375) / (n + 0.25))
@@ -152,25 +125,40 @@ def _square_sum(n: int, skip: int) -> float:
     return boundary(-low) - boundary(low)
 
 
-def with_cumulative_score(df: DataFrame, rank: Column, out: str) -> DataFrame:
-    """Append sum(m(1..rank)), given columns n, tail and offset from `score_constants`.
+def with_cumulative_scores(df: DataFrame, ranks: Mapping[str, str]) -> DataFrame:
+    """Append sum(m(1..rank)) per output name -> rank column, given columns n, tail and offset.
 
     Scores are antisymmetric, so the sum depends only on the distance q of the rank from the nearer
-    end: ranks inside the tail read the table, the others the closed form.
+    end: ranks inside the tail read the table, the others the closed form at the quantile z.
+
+    Each step is a projection of its own and declared free of nulls. Written inline, the argument of
+    the polynomials would be repeated in every Horner step, and with null checks in each of them the
+    generated method would outgrow the size the JVM compiles to machine code.
     """
-    q, z, d = f"{out}_q", f"{out}_z", f"{out}_d"
-    n = F.col("n")
-    df = df.withColumn(q, F.least(rank, n - rank))
-    df = with_lower_quantile(df, F.least((F.col(q) + 0.125) / (n + 0.25), F.lit(0.5)), z)
-    df = df.withColumn(d, F.exp(F.col(z) * F.col(z) * -0.5) * ((n + 0.25) / _ROOT_TWO_PI))
-    return df.withColumn(
-        out,
-        F.when(
-            F.col(q) <= TAIL, F.element_at("tail", F.least(F.col(q), F.lit(float(TAIL))).cast("int") + 1)
-        ).otherwise(
-            F.col("offset")
-            - F.col(d)
-            - 1.0 / (24.0 * F.col(d))
-            + 7.0 * (1.0 + 2.0 * F.col(z) * F.col(z)) / (5760.0 * F.col(d) * F.col(d) * F.col(d))
+    steps = (
+        ("q", "least({rank}, n - {rank})"),
+        ("p", "coalesce(least(({q} + 0.125D) / (n + 0.25D), 0.5D), 0.5D)"),
+        ("t", "coalesce(sqrt(-ln({p})), 0D)"),
+        (
+            "s",
+            "CASE WHEN {p} >= 0.075D THEN 0.180625D - ({p} - 0.5D) * ({p} - 0.5D) "
+            "WHEN {t} <= 5D THEN {t} - 1.6D ELSE {t} - 5D END",
+        ),
+        (
+            "z",
+            f"CASE WHEN {{p}} >= 0.075D THEN ({{p}} - 0.5D) * {_horner(CENTRAL_NUM, '{s}')} / {_horner(CENTRAL_DEN, '{s}')} "
+            f"WHEN {{t}} <= 5D THEN -{_horner(MIDDLE_NUM, '{s}')} / {_horner(MIDDLE_DEN, '{s}')} "
+            f"ELSE -{_horner(FAR_NUM, '{s}')} / {_horner(FAR_DEN, '{s}')} END",
         ),
-    ).drop(q, z, d)
+        ("d", f"exp({{z}} * {{z}} * -0.5D) * ((n + 0.25D) / {_ROOT_TWO_PI!r}D)"),
+        (
+            "out",
+            f"CASE WHEN {{q}} <= {TAIL}D THEN element_at(tail, cast(least({{q}}, {TAIL}D) as int) + 1) "
+            "ELSE offset - {d} - 1D / (24D * {d}) + 7D * (1D + 2D * {z} * {z}) / (5760D * {d} * {d} * {d}) END",
+        ),
+    )
+    kept = df.columns
+    names = {out: {"rank": rank, "out": out} | {k: f"{out}_{k}" for k in "qptszd"} for out, rank in ranks.items()}
+    for step, text in steps:
+        df = df.selectExpr("*", *[f"{text.format(**n)} AS {n[step]}" for n in names.values()])
+    return df.select(*kept, *ranks)

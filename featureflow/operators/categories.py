@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.rules import more_than_one_decimal
 from .ranks import value_counts
 
-# Rare values up to this number are kept in the profile; longer lists stay a distributed table.
-INLINE_RARE = 1_000
-
 
 @dataclass(frozen=True)
 class CategoryStats:
@@ -59,9 +56,13 @@ def category_stats(
     columns: Sequence[str],
     flags: Mapping[str, Column],
     threshold: float,
-    inline: int = INLINE_RARE,
+    inline: int = 1_000,
 ) -> tuple[dict[str, CategoryStats], DataFrame]:
-    """Statistics per column, and the full rare-value table for columns with long lists."""
+    """Statistics per column, and the rare-value table.
+
+    Up to `inline` rare values of a column are listed in its statistics; longer lists are left empty
+    there and stay a distributed table.
+    """
     ratios = category_ratios(df, columns, flags)
     is_rare = F.col("ratio") <= threshold
     rare = rare_values(ratios, threshold)

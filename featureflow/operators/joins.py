@@ -37,7 +37,7 @@ def lookup(
     holding more than 1/HOT_SHARE of the rows (so fewer than HOT_SHARE of them) skip the shuffle
     and meet their own few table rows by broadcast.
     """
-    if len(table.limit(small_rows + 1).select(column).take(small_rows + 1)) <= small_rows:
+    if table.limit(small_rows + 1).count() <= small_rows:
         return df.join(F.broadcast(table), column, "left")
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = df.count()

@@ -168,7 +168,7 @@ def profile_stacked(
     categorical = [c for c in columns if moments[c, "train"].categorical]
     continuous = [c for c in columns if c not in categorical]
     stats, rare = (
-        category_stats(df, categorical, flags, config.category_trunc_threshold) if categorical else ({}, None)
+        category_stats(df, categorical, flags, config.category_trunc_threshold, config.inline_rare) if categorical else ({}, None)
     )
     shapes = {}
     if continuous:

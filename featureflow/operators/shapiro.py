@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LOG_EPS
-from ..functions.normal import score_constants, with_cumulative_score
+from ..functions.normal import score_constants, with_cumulative_scores
 from ..functions.rules import shift_log
 from .moments import Moments, column_moments, combine
 from .ranks import ROWS_PER_BUCKET, ordered_counts
@@ -90,7 +90,7 @@ def shapiro_from_moments(
         .withColumn("lo", F.col("hi") - F.col("k"))
     )
     n = F.col("n")
-    scored = with_cumulative_score(with_cumulative_score(ranked, F.col("hi"), "to_hi"), F.col("lo"), "to_lo").select(
+    scored = with_cumulative_scores(ranked, {"to_hi": "hi", "to_lo": "lo"}).select(
         "*",
         (F.col("to_hi") - F.col("to_lo")).alias("weight"),
         (F.col("value") - F.col("mean")).alias("x"),

@@ -136,14 +136,15 @@ def _line_state(c: str) -> str:
     return f"CASE WHEN abs({z}) >= {Z_CUT} THEN sign({z})::DOUBLE ELSE 0.0::DOUBLE END"
 
 
-# Every continuous column of lineitem is normal here (see normal_or_log); price and tax have outliers, the discount none.
+# Every continuous column of lineitem is normal here and has outliers (see normal_or_log).
 DERIVED_LINES = f"""{LINES},
     spread AS (SELECT name, {', '.join(_line_moments(c) for c in CONTINUOUS)} FROM l GROUP BY name),
     derived AS (
         SELECT l_orderkey, l.name, l_linenumber::DOUBLE AS l_linenumber_cat, l_quantity AS l_quantity_cat,
             {_line_state('l_extendedprice')} AS l_extendedprice_state,
             CASE WHEN ({_line_state('l_extendedprice')}) = 0 THEN l_extendedprice ELSE 0.0::DOUBLE END AS l_extendedprice_st_inter,
-            l_discount AS "l_discount_N",
+            {_line_state('l_discount')} AS l_discount_state,
+            CASE WHEN ({_line_state('l_discount')}) = 0 THEN l_discount ELSE 0.0::DOUBLE END AS l_discount_st_inter,
             {_line_state('l_tax')} AS l_tax_state,
             CASE WHEN ({_line_state('l_tax')}) = 0 THEN l_tax ELSE 0.0::DOUBLE END AS l_tax_st_inter
         FROM l JOIN spread ON l.name = spread.name
@@ -279,7 +280,7 @@ ORACLE: dict[str, str] = {
         SELECT event_id, name, CASE WHEN state = 0 THEN x ELSE 0.0::DOUBLE END AS value_st_inter FROM stated""",
     "derive_all": f"WITH {DERIVED_LINES} SELECT * FROM derived",
     "derived_view": f"""WITH {DERIVED_LINES}
-        SELECT name, l_tax_state, count(*) AS n, round(sum("l_discount_N"), 4) AS discount FROM derived GROUP BY name, l_tax_state""",
+        SELECT name, l_tax_state, count(*) AS n, round(sum(l_discount_st_inter), 4) AS discount FROM derived GROUP BY name, l_tax_state""",
     "histogram": f"""WITH {PARTS},
         r AS (SELECT min(p_size)::DOUBLE AS low, max(p_size)::DOUBLE AS high, count(DISTINCT p_size) AS k FROM q),
         b AS (SELECT name, least(floor((p_size - low) / ((high - low) / k)), k - 1)::INTEGER AS bin FROM q CROSS JOIN r),

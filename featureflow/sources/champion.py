@@ -17,7 +17,8 @@ def read_champion(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCHEMA)
-    last = rows.agg(F.max_by(F.struct("mroc", "sdroc", "name"), F.monotonically_increasing_id()).alias("r"))
+    placed = rows.select(F.struct("mroc", "sdroc", "name").alias("line"), F.monotonically_increasing_id().alias("place"))
+    last = placed.agg(F.max_by("line", "place").alias("r"))
     return last.filter("r IS NOT NULL").select("r.*")
 
 
