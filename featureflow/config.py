@@ -35,6 +35,7 @@ class Config:
     parallelism: int = 4
     reg_params: tuple[float, ...] = REG_PARAMS
     svm_reg_param: float = 0.01
+    svm_tol: float = 0.001
     gbt_depth: int = 5
     gbt_learn_rate: float = 0.1
     gbt_max_iter: int = 20

@@ -86,7 +86,7 @@ def test_record_keeps_the_last_line(spark, tmp_path):
 
 def test_whole_run(spark, data, tmp_path):
     train, test = data
-    config = Config(model="svm", nfolds=2, num_splits=2, cat_transform=True)
+    config = Config(model="gbt", num_splits=2, gbt_max_iter=2, gbt_depth=2, cat_transform=True)
     champion, predictions = str(tmp_path / "champion"), str(tmp_path / "predictions")
     first = run(train, test, "k", "y", ["x", "z"], champion, predictions, config)
     assert first.decision.first()["accepted"] and first.predictions.count() == 400
