@@ -33,6 +33,7 @@ class Config:
     num_splits: int = 5
     seed: int = 1
     parallelism: int = 4
+    partitions: int | None = None
     reg_params: tuple[float, ...] = REG_PARAMS
     svm_reg_param: float = 0.01
     svm_tol: float = 0.001

@@ -9,9 +9,13 @@ SMALL_TABLE_ROWS = 200_000
 HOT_SHARE = 1_000
 
 
-def attach_columns(df: DataFrame, extra: DataFrame, key: str) -> DataFrame:
-    """Left outer join of further columns on a unique key; the left table keeps every row."""
-    return df.join(extra, key, "left")
+def attach_columns(df: DataFrame, extra: DataFrame, key: str, hot_keys: bool = False) -> DataFrame:
+    """Left outer join of further columns, unique by key; the left table keeps every row.
+
+    With row identities on both sides the plain join is even. Set hot_keys where the key repeats on
+    the left and one value may hold a large share of the rows.
+    """
+    return lookup(df, key, extra) if hot_keys else df.join(extra, key, "left")
 
 
 def attach_labels(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import as_number, balance_ratio, more_than_one_decimal
-from .ranks import COLUMNS_PER_JOB
+from .ranks import blocks
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,7 @@ def column_moments(
     part = F.coalesce(*[F.when(flag, F.lit(name)) for name, flag in flags.items()])
     out: dict[tuple[str, str], Moments] = {}
     fields = list(Moments.__dataclass_fields__)
-    for start in range(0, len(columns), COLUMNS_PER_JOB):
-        block = columns[start : start + COLUMNS_PER_JOB]
+    for block in blocks(columns):
         slim = df.select(part.alias("part"), *[as_number(F.col(c)).alias(f"v{i}") for i, c in enumerate(block)])
         aggregates = [a for i in range(len(block)) for a in moment_aggregates(F.col(f"v{i}"), f"c{i}_")]
         rows = {r["part"]: r for r in slim.filter("part IS NOT NULL").groupBy("part").agg(*aggregates).collect()}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from .categories import CategoryStats, category_stats
 from .moments import Moments, column_moments
-from .ranks import ROWS_PER_BUCKET
+from .ranks import ROWS_PER_BUCKET, blocks
 from .shapiro import shapiro_from_moments
 
 POPULATIONS = {"train": ["train"], "test": ["test"], "combined": ["train", "test"]}
@@ -167,16 +168,20 @@ def profile_stacked(
     moments = column_moments(df, columns, flags)
     categorical = [c for c in columns if moments[c, "train"].categorical]
     continuous = [c for c in columns if c not in categorical]
-    stats, rare = (
-        category_stats(df, categorical, flags, config.category_trunc_threshold, config.inline_rare) if categorical else ({}, None)
-    )
+    # Wide tables are taken in blocks of columns; a columnar scan reads each column once either way.
+    stats: dict[str, CategoryStats] = {}
+    rare: list[DataFrame] = []
+    for block in blocks(categorical):
+        found, values = category_stats(df, block, flags, config.category_trunc_threshold, config.inline_rare)
+        stats |= found
+        rare.append(values)
     shapes = {}
-    if continuous:
-        found = shapiro_from_moments(df, continuous, flags, moments, POPULATIONS, config.log_eps, rows_per_bucket)
-        shapes = {(r["column_name"], r["population"]): r for r in found.collect()}  # three rows a column
+    for block in blocks(continuous):
+        found = shapiro_from_moments(df, block, flags, moments, POPULATIONS, config.log_eps, rows_per_bucket)
+        shapes |= {(r["column_name"], r["population"]): r for r in found.collect()}  # three rows a column
     decided = {c: _categorical(c, moments, stats.get(c), config) for c in categorical}
     decided |= {c: _continuous(c, moments, shapes, config) for c in continuous}
-    return Profile(tuple(decided[c] for c in columns), rare)
+    return Profile(tuple(decided[c] for c in columns), reduce(DataFrame.unionByName, rare) if rare else None)
 
 
 def _categorical(c: str, moments: dict, stats: CategoryStats | None, config: Config) -> ColumnProfile:

@@ -1,7 +1,7 @@
 """Order statistics and dense row numbers without moving a whole column into one task.
 
 Rows are spread over buckets of consecutive values. The bucket borders are approximate
-quantiles, fixed on the driver once (a bounded list of numbers), so a row's bucket is a pure
+quantiles of a bounded sample, fixed on the driver once (a bounded list of numbers), so a row's bucket is a pure
 function of its value and any task can be recomputed safely. Ranks are then a per-bucket
 running count plus the number of rows in the lower buckets.
 """
@@ -14,12 +14,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import as_number
 from ..sources.storage import checkpointed
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
+SAMPLE_PER_BUCKET = 20
 COLUMNS_PER_JOB = 32
 
 
@@ -28,15 +30,26 @@ def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
 
 
-def split_points(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
-    """Strictly increasing inner borders per column; a value holding many rows yields one border."""
+def blocks(columns: Sequence[str], size: int = COLUMNS_PER_JOB) -> list[Sequence[str]]:
+    """Consecutive blocks of columns, each small enough for the generated code of one job."""
+    return [columns[i : i + size] for i in range(0, len(columns), size)]
+
+
+def split_points(df: DataFrame, columns: Sequence[str], buckets: int, rows: int) -> dict[str, list[float]]:
+    """Strictly increasing inner borders per column; a value holding many rows yields one border.
+
+    Borders only balance the work, no result depends on them, so a sample of SAMPLE_PER_BUCKET rows
+    a bucket is enough and bounds what the last step of the quantile sketch has to merge.
+    """
     if buckets <= 1:
         return {c: [] for c in columns}
+    fraction = buckets * SAMPLE_PER_BUCKET / max(rows, 1)
+    if fraction < 1:
+        df = df.sample(withReplacement=False, fraction=fraction, seed=buckets)
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     accuracy = F.lit(max(10_000, 10 * buckets))
     out: dict[str, list[float]] = {}
-    for start in range(0, len(columns), COLUMNS_PER_JOB):
-        block = columns[start : start + COLUMNS_PER_JOB]
+    for block in blocks(columns):
         row = df.agg(
             *[F.percentile_approx(as_number(F.col(c)), shares, accuracy).alias(f"p{i}") for i, c in enumerate(block)]
         ).first()
@@ -108,7 +121,7 @@ def ordered_counts(
     `rows` is the row count of df, used only to choose the number of buckets.
     """
     buckets = bucket_count(rows, rows_per_bucket)
-    counts = value_counts(df, columns, flags, split_points(df, columns, buckets))
+    counts = value_counts(df, columns, flags, split_points(df, columns, buckets, rows))
     names = list(flags)
     window = W.partitionBy("item", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     running = counts.select(
@@ -136,13 +149,14 @@ def with_row_num(
     Two scans of the key column alone fix the buckets and their sizes; the table itself is
     shuffled once, by bucket.
     """
-    kind = df.schema[key].dataType.simpleString()
-    if kind == "string" or kind.startswith(("array", "map", "struct", "binary")):
+    dtype = df.schema[key].dataType
+    kind = dtype.typeName()
+    if not isinstance(dtype, T.NumericType) and kind not in ("date", "timestamp"):
         raise TypeError(f"{key} is {kind}; number rows by a numeric or temporal key, or use number_sorted")
     order = F.unix_micros(key) if kind == "timestamp" else F.unix_date(key) if kind == "date" else F.col(key)
     slim = df.select(order.cast("double").alias("k"))
-    buckets = bucket_count(slim.count(), rows_per_bucket)
-    points = split_points(slim, ["k"], buckets)
+    rows = slim.count()
+    points = split_points(slim, ["k"], bucket_count(rows, rows_per_bucket), rows)
     sized = add_buckets(slim, points, {"k": "bucket"}).groupBy("bucket").agg(F.count("*").alias("n"))
     sizes = {r["bucket"]: r["n"] for r in sized.collect()}  # at most MAX_BUCKETS rows
     starts, total = [], 0

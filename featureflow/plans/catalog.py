@@ -22,7 +22,7 @@ from ..operators.derive import derive
 from ..operators.encode import assemble, category_table, fit_category_index, one_hot
 from ..operators.evaluate import area_under_roc, confusion, split_metrics, split_summary
 from ..operators.joins import attach_columns, attach_labels, holdout
-from ..operators.models import fit, score, validate
+from ..operators.models import refit, score, validate
 from ..operators.moments import column_moments, combine
 from ..operators.profile import profile_stacked
 from ..operators.ranks import read_numbered, with_row_num
@@ -397,19 +397,24 @@ def _model_table(spark, folder) -> DataFrame:
     return assemble(lines, lines, "l_orderkey", "large", ["l_quantity", "l_extendedprice", "l_tax"]).train
 
 
+def _fit_config(spark, **settings) -> Config:
+    """The test table is one row group, so it would be fitted by a single core."""
+    return Config(partitions=spark.sparkContext.defaultParallelism, **settings)
+
+
 def lr_cv(spark, folder):
     """Cross-validated logistic regression over the whole grid, validated on a hold-out."""
-    return validate(_model_table(spark, folder), Config(model="lr", nfolds=2, num_splits=1, parallelism=8))
+    return validate(_model_table(spark, folder), _fit_config(spark, model="lr", nfolds=2, num_splits=1, parallelism=8))
 
 
 def svm(spark, folder):
     """Linear SVM on two hold-outs."""
-    return validate(_model_table(spark, folder), Config(model="svm", num_splits=2))
+    return validate(_model_table(spark, folder), _fit_config(spark, model="svm", num_splits=2))
 
 
 def gbt(spark, folder):
     """Gradient-boosted trees on two hold-outs."""
-    return validate(_model_table(spark, folder), Config(model="gbt", num_splits=2))
+    return validate(_model_table(spark, folder), _fit_config(spark, model="gbt", num_splits=2))
 
 
 def _documents(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -428,7 +433,7 @@ def score_unlabelled(spark, folder):
     """Refit on all labelled documents, score the others."""
     train, test = _documents(spark, folder)
     out = assemble(train, test, "doc_id", "quality", ["chars", "words", "digits"])
-    scored = score(fit(out.train, Config(model="lr", nfolds=3)), out.test)
+    scored = score(refit(out.train, Config(model="lr", nfolds=3, partitions=1 + out.train.count() // 50_000)), out.test)
     path = scratch_path(spark, "predictions")
     write_predictions(scored, "lr", path)
     return spark.read.parquet(path)

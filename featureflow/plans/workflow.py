@@ -13,7 +13,7 @@ from ..operators.champion import champion_gate
 from ..operators.derive import derive
 from ..operators.encode import Assembled, assemble
 from ..operators.evaluate import split_summary
-from ..operators.models import fit, score, validate
+from ..operators.models import refit, score, validate
 from ..operators.profile import Profile, profile
 from ..sources.champion import read_champion, write_champion
 from ..sources.tables import prediction_frame, publish, write_predictions
@@ -73,7 +73,7 @@ def choose_model(
     if not gate["accepted"]:
         return metrics, decision, None
     write_champion(record, champion_path)
-    scored = score(fit(assembled.train, config), assembled.test)
+    scored = score(refit(assembled.train, config), assembled.test)
     if predictions_path is not None:
         write_predictions(scored, config.run_name(), predictions_path)
     return metrics, decision, prediction_frame(scored, config.run_name())

@@ -5,7 +5,7 @@ from featureflow.config import REG_PARAMS, Config
 from featureflow.operators.champion import champion_gate
 from featureflow.operators.encode import Assembled, assemble
 from featureflow.operators.evaluate import area_under_roc
-from featureflow.operators.models import fit, logistic_grid, score, validate
+from featureflow.operators.models import fit, logistic_grid, refit, score, validate
 from featureflow.plans.workflow import build_features, choose_model, run
 from featureflow.sources.champion import SCHEMA, read_champion, write_champion
 
@@ -27,11 +27,11 @@ def assembled(data) -> Assembled:
 
 @pytest.mark.parametrize("name", ["lr", "svm", "gbt"])
 def test_family(assembled, name):
-    config = Config(model=name, nfolds=2, num_splits=2, gbt_max_iter=2, gbt_depth=2, reg_params=(0.02, 0.5))
+    config = Config(model=name, nfolds=2, num_splits=2, gbt_max_iter=2, gbt_depth=2, reg_params=(0.02, 0.5), partitions=1)
     metrics = validate(assembled.train, config).collect()
     assert [r["seed"] for r in metrics] == [1, 2]
     assert all(r["precision"] > 0.7 and 0 < r["n"] < 200 for r in metrics)
-    scored = score(fit(assembled.train, config), assembled.test).collect()
+    scored = score(refit(assembled.train, config), assembled.test).collect()
     assert sorted(r["id"] for r in scored) == list(range(1000, 1400))
     assert {r["prediction"] for r in scored} == {0.0, 1.0}
 

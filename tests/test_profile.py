@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from featureflow.config import Config
 from featureflow.operators.categories import category_ratios, category_stats
 from featureflow.operators.derive import derive
-from featureflow.operators.joins import lookup
+from featureflow.operators.joins import attach_columns, lookup
 from featureflow.operators.profile import Profile, normal_or_log, profile
 
 
@@ -89,10 +89,13 @@ def test_lookup_with_hot_values_and_nulls(spark):
     keys = [7] * 500 + [None] * 300 + list(range(1000, 1800))
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
     right = spark.createDataFrame([(7, "hot")] + [(k, str(k)) for k in range(1000, 1500)], "k int, s string")
-    want = sorted(map(tuple, lookup(df, "k", right).select("i", "k", "s").collect()))
+    want = sorted(map(tuple, lookup(df, "k", right).select("i", "k", "s").collect()), key=lambda r: r[0])
     got = lookup(df, "k", right, small_rows=10).select("i", "k", "s")
-    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == want
     assert len(want) == len(keys)
+    plain = attach_columns(df, right, "k").select("i", "k", "s").collect()
+    marked = attach_columns(df, right, "k", hot_keys=True).select("i", "k", "s").collect()
+    assert set(map(tuple, plain)) == set(map(tuple, marked)) == set(want)
 
 
 def test_mismatches(spark):
