@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from featureflow.llm import simhash
+import public_tokenizers
+
+from featureflow.llm import bpe, quality, secret_scan, simhash, vectors, warc
+from featureflow.sources.storage import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +21,68 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, distance=3)
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    written = warc.write_warc(_table(spark, folder, "pages"), scratch_path(spark, "warc"), min_bytes=0)
+    records = warc.read_warc(written, payloads=False)
+    return records.select(
+        F.col("fields")["page"].cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("fields")["refers-to-page"].cast("long").alias("refers_to"),
+    )
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.assess(_table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"], x["end"])), ",")
+    base = ("assign", "access", "hex")
+    count = lambda n: F.size(F.filter("secret_spans", lambda x: x["name"] == n)).cast("long")
+    counts = [count(n).alias(f"n_{n}") for n in base]
+    digest = F.sha2(told(F.filter("secret_spans", lambda x: x["name"].isin(*base))), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, told("secret_spans").alias("spans"))
+
+
+def op8_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, folder, "embeddings"), cosine=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
+    "op4_bpe": op4_bpe,
+    "op5_secrets": op5_secrets,
+    "op8_vectors": op8_vectors,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH pages_ AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        hashed AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM pages_),
+        fives AS (
+            SELECT page_id, payload_bytes, hex,
+                   list_transform(range(8), lambda i: ('0x' || substr(hex, (i * 5 + 1)::INT, 5))::INT) AS parts
+            FROM hashed),
+        coded AS (
+            SELECT page_id, payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((parts[(1 + i // 4)::INT] >> (15 - 5 * (i % 4))::INT) & 31), 1)), '')
+                       AS payload_digest
+            FROM fives),
+        kept AS (SELECT payload_digest, max(page_id) AS keeper FROM coded GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+        FROM coded JOIN kept USING (payload_digest)
+    """,
+}
