@@ -75,7 +75,7 @@ class Bpe:
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] if not suffix else vocab[a.removesuffix(suffix) + b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
