@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from featureflow.llm import bpe, quality, secret_scan, simhash, vectors, warc
+from featureflow.llm import bpe, html_text, licenses, packing, quality, secret_scan, simhash, vectors, warc
 from featureflow.sources.storage import scratch_path
 
 
@@ -52,17 +52,32 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, told("secret_spans").alias("spans"))
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op8_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, folder, "embeddings"), cosine=0.9)
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
+
+
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
+    "op7_licenses": op7_licenses,
     "op8_vectors": op8_vectors,
+    "op9_packing": op9_packing,
+    "op10_html": op10_html,
 }
 
 ORACLE: dict[str, str] = {
