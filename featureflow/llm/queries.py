@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from featureflow.llm import bpe, html_text, licenses, packing, quality, secret_scan, simhash, vectors, warc
+from featureflow.llm import bpe, html_text, licenses, line_dedup, packing, quality, secret_scan, simhash, vectors, warc
 from featureflow.sources.storage import scratch_path
 
 
@@ -52,6 +52,12 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, told("secret_spans").alias("spans"))
 
 
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("whole")))
+    count = lambda c: F.when(F.length(c) > 0, F.size(F.split(c, "\n"))).otherwise(0).cast("long")
+    return kept.select("doc_id", count("whole").alias("n_lines"), count("text").alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
+    "op6_lines": op6_lines,
     "op7_licenses": op7_licenses,
     "op8_vectors": op8_vectors,
     "op9_packing": op9_packing,
