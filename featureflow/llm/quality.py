@@ -76,8 +76,11 @@ def _repeats(df: DataFrame) -> DataFrame:
 
     Windows are 64-bit hashes, doubled in length three times. Only a text in which two windows agree has
     them sorted; the covered words are then the union of its repeated windows. Each array stands in a
-    column of its own, so that no lambda computes it anew for each element.
+    column of its own, so that no lambda computes it anew for each element. A filter on the result would be pushed
+    below and repeat the expressions of all arrays for each use; adding zero by task number, which is not deterministic,
+    holds it above.
     """
+    held = F.when(F.spark_partition_id() < 0, 1).otherwise(0)
     windows = df.withColumn("__1", F.transform("__words", lambda w: F.xxhash64(w)))
     for half in (1, 2, 4):
         windows = windows.withColumn(f"__{2 * half}", _doubled(F.col(f"__{half}"), half))
@@ -99,7 +102,7 @@ def _repeats(df: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("__new", F.transform("__at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__at", k + 1) - x, F.lit(WINDOW)))))
-        .withColumn("n_repeat_words", F.coalesce(F.aggregate("__new", F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
+        .withColumn("n_repeat_words", (F.coalesce(F.aggregate("__new", F.lit(0), lambda a, x: a + x), F.lit(0)) + held).cast("long"))
     )
 
 
@@ -144,6 +147,5 @@ def assess(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that are kept, with the columns they came with."""
-    mark = "__kept"
     judged = assess(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__body")), "__body", rules)
-    return judged.withColumnRenamed("kept", mark).where(mark).select("__row.*")
+    return judged.where("kept").select("__row.*")

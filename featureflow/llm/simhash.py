@@ -137,22 +137,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (null if nobody else is there). Repeated rows are returned as often as they occur. Other columns of
     the input are not returned. An empty table gives an empty result.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = checkpointed(with_fingerprint(source, "text", "f", words).select("doc_id", "f"))
+    found = _classes(docs, doc_id, text, words, distance)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int, distance: int) -> DataFrame:
+    """(doc_id, version, f, component_id) per row; version is a hash of the text."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("version"), F.col(text).cast("string").alias("text"))
+    prints = checkpointed(with_fingerprint(source, "text", "f", words).select("doc_id", "version", "f"))
     distinct = prints.groupBy("f").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints, "f", distance)).select(F.col("node").alias("f"), "root")
     rooted = distinct.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(named, "root").select("f", "component_id")
-    return prints.join(classes, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "f").select("doc_id", "version", "f", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The documents that name their component, all columns kept; the others are near copies and go.
+    """One document of each component, all columns kept: the one that names it, of several with that id one text's.
 
-    Rows with a null doc_id stay. Repeated rows of the same doc_id are copies of each other: of equal
-    rows one stays (of rows that share an id but differ, each distinct row).
+    Rows with a null doc_id stay. Of rows with equal id and text one stays.
     """
-    found = near_duplicates(docs, doc_id, text, words, distance)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(copies, doc_id, "left_anti").distinct()
+    found = checkpointed(_classes(docs, doc_id, text, words, distance).where("doc_id IS NOT NULL"))
+    named = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("version").alias("keeper"))
+    judged = found.join(named, "component_id").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("version") == F.col("keeper"))).alias("stays"))
+    copies = judged.where("NOT stays").select("__id", "__version").distinct()
+    version = F.xxhash64(F.col(text).cast("string"))
+    kept = docs.join(copies, (F.col(doc_id) == F.col("__id")) & (version == F.col("__version")), "left_anti")
+    if found.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return kept
+    some = kept.where(F.col(doc_id).isNotNull()).withColumn("__version", version).dropDuplicates([doc_id, "__version"]).drop("__version")
+    return some.unionByName(kept.where(F.col(doc_id).isNull()))
