@@ -34,9 +34,10 @@ class Config:
     seed: int = 1
     parallelism: int = 4
     partitions: int | None = None
+    rows_per_partition: int | None = None
     reg_params: tuple[float, ...] = REG_PARAMS
     svm_reg_param: float = 0.01
-    svm_tol: float = 0.001
+    svm_tol: float = 1e-6
     gbt_depth: int = 5
     gbt_learn_rate: float = 0.1
     gbt_max_iter: int = 20

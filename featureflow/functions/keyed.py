@@ -12,25 +12,40 @@ from pyspark.sql import functions as F
 PARTS = 100
 
 
-def key_slot(key: Column, seed: int, parts: int = PARTS) -> Column:
-    """Slot 0..parts-1 from the first 32 bits of md5("seed:key")."""
+def _digest(key: Column, seed: int) -> Column:
+    """First 32 bits of md5("seed:key") as a number."""
     digest = F.md5(F.concat(F.lit(f"{int(seed)}:"), key.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(parts))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
+def key_slot(key: Column, seed: int, parts: int = PARTS) -> Column:
+    """Slot 0..parts-1 of a key; null for a null key."""
+    return F.pmod(_digest(key, seed), F.lit(parts))
 
 
 def in_sample(key: Column, seed: int, fraction: float = 0.75) -> Column:
-    """True for the sampled share of keys; fraction is a whole number of percent."""
-    percent = round(fraction * PARTS)
-    if not 0 < percent < PARTS or abs(percent - fraction * PARTS) > 1e-9:
-        raise ValueError(f"fraction must be a whole percent between 0 and 1, got {fraction}")
-    return key_slot(key, seed) < percent
+    """True for the sampled share of keys, any fraction between 0 and 1; a null key is never sampled.
+
+    Whole percents are decided by the slot alone; what is left of a fraction falls on the borderline
+    slot and is decided by the rest of the digest.
+    """
+    if not 0 < fraction < 1:
+        raise ValueError(f"fraction must lie between 0 and 1, got {fraction}")
+    percent = round(fraction * PARTS, 9)
+    whole = int(percent)
+    slot = key_slot(key, seed)
+    chosen = slot < whole
+    if percent > whole:
+        finer = F.floor(_digest(key, seed) / PARTS) < F.lit((percent - whole) * 2**32 / PARTS)
+        chosen = chosen | ((slot == whole) & finer)
+    return F.coalesce(chosen, F.lit(False))
 
 
 def split_name(key: Column, seed: int, fraction: float = 0.75) -> Column:
-    """'train' for sampled keys, 'test' for the others."""
+    """'train' for sampled keys, 'test' for the others and for null keys."""
     return F.when(in_sample(key, seed, fraction), F.lit("train")).otherwise(F.lit("test"))
 
 
 def fold(key: Column, folds: int, seed: int) -> Column:
-    """Fold number 0..folds-1, independent of the train/hold-out split of the same seed."""
-    return key_slot(key, seed + 1_000_003, folds).cast("int")
+    """Fold number 0..folds-1, independent of the train/hold-out split of the same seed; 0 for a null key."""
+    return F.coalesce(key_slot(key, seed + 1_000_003, folds), F.lit(0)).cast("int")

@@ -40,7 +40,11 @@ def derived_columns(p: ColumnProfile, role: str | Column, config: Config = Confi
     value = transformed(p, role, config)
     if p.kind in ("N", "LN"):
         return [value.alias(names[0])]
-    s = state(zscore(value, _per_role(p, "mean", role), _per_role(p, "sd", role)), config.z_cut)
+    sd = _per_role(p, "sd", role)
+    # a side that does not vary has no deviation to divide by: its values are the mean
+    still = (F.coalesce(sd, F.lit(0.0)) == 0.0) & value.isNotNull()
+    z = F.when(still, F.lit(0.0)).otherwise(zscore(value, _per_role(p, "mean", role), sd))
+    s = state(z, config.z_cut)
     return [s.alias(names[0]), state_interaction(s, value).alias(names[1])]
 
 
@@ -53,11 +57,15 @@ def derive(
 ) -> DataFrame:
     """(keep..., derived...) in one narrow projection, whatever the number of columns.
 
-    Only a column whose rare-value list was too long for the profile needs a join.
+    Columns whose rare-value lists were too long for the profile are marked by joins with the stored lists,
+    by broadcast if the bytes of all lists allow.
     """
-    long_lists = [p for p in profile.columns if p.kind == "trunc_cat" and p.n_rare != len(p.rare)]
-    for p in long_lists:
-        df = _mark_rare(df, p, profile.rare)
+    long_lists = [p for p in profile.columns if p.long_list()]
+    if long_lists:
+        if profile.rare is None:
+            names = ", ".join(p.column_name for p in long_lists)
+            raise ValueError(f"the rare values of {names} are not in the profile; store it with write and read it with read")
+        df = _mark_rare(df, long_lists, profile.rare)
     out = []
     for p in profile.columns:
         if p in long_lists:
@@ -68,9 +76,24 @@ def derive(
     return df.select(*keep, *out)
 
 
-def _mark_rare(df: DataFrame, p: ColumnProfile, rare: DataFrame) -> DataFrame:
-    value = f"__value_{p.column_name}"
-    table = rare.filter(F.col("column_name") == p.column_name).select(
-        F.col("value").alias(value), F.lit(True).alias(f"__rare_{p.column_name}")
-    )
-    return lookup(df.withColumn(value, as_number(F.col(p.column_name))), value, table).drop(value)
+# A row of the rare table takes some tens of bytes in a task's hash table.
+RARE_ROW_BYTES = 64
+RARE_BYTES = 32 << 20
+
+
+def _mark_rare(df: DataFrame, columns: Sequence[ColumnProfile], rare: DataFrame) -> DataFrame:
+    """Append `__rare_{c}` for several columns.
+
+    Lists that fit into memory together are broadcast; larger ones are joined by shuffles that keep hot
+    values apart. Either way the lists are read from shared storage, never counted again.
+    """
+    names = [p.column_name for p in columns]
+    if rare.count() * RARE_ROW_BYTES <= RARE_BYTES:
+        for c in names:
+            table = rare.filter(F.col("column_name") == c).select(F.col("value").alias("__value"), F.lit(True).alias(f"__rare_{c}"))
+            df = df.join(F.broadcast(table), as_number(F.col(c)) == F.col("__value"), "left").drop("__value")
+        return df
+    for c in names:
+        table = rare.filter(F.col("column_name") == c).select(F.col("value").alias("__value"), F.lit(True).alias(f"__rare_{c}"))
+        df = lookup(df.withColumn("__value", as_number(F.col(c))), "__value", table).drop("__value")
+    return df

@@ -28,7 +28,7 @@ def attach_labels(
 
 
 def holdout(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose non-null key is not in the sample."""
+    """Rows of df whose key is not in the sample; a null key is in no sample, so its rows stay."""
     return df.join(sample.select(key), key, "left_anti")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from .categories import CategoryStats, category_stats
+from ..sources.storage import checkpointed
 from .moments import Moments, column_moments
 from .ranks import ROWS_PER_BUCKET, blocks
 from .shapiro import shapiro_from_moments
@@ -55,6 +56,10 @@ class ColumnProfile:
     sd_train: float | None = None
     sd_test: float | None = None
 
+    def long_list(self) -> bool:
+        """Whether the rare values stand in the profile's table rather than here."""
+        return self.kind == "trunc_cat" and self.n_rare != len(self.rare)
+
     def outputs(self) -> list[str]:
         """Names of the derived columns that are used."""
         suffixes = ["state", "st_inter"] if self.kind == "state" else [self.kind]
@@ -72,11 +77,12 @@ class ColumnProfile:
         """(kind, detail) of every disagreement between train and test."""
         out = []
         if self.n_test_only:
-            out.append(("category", "test has categories not in training"))
+            out.append(("category", f"test only: {self.n_test_only}"))
         if self.choice_train != self.choice_test:
-            out.append(
-                ("transform", f"training set suggests {self.choice_train}, while test set suggests {self.choice_test}")
-            )
+            out.append(("transform", f"train: {self.choice_train}, test: {self.choice_test}"))
+        for side, sd, other in (("train", self.sd_train, self.sd_test), ("test", self.sd_test, self.sd_train)):
+            if not sd and other:
+                out.append(("constant", f"{side} does not vary"))
         return out
 
 
@@ -113,6 +119,17 @@ class Profile:
         rows = [tuple(list(v) if isinstance(v, tuple) else v for v in asdict(p).values()) for p in self.columns]
         return spark.createDataFrame(rows, PROFILE_SCHEMA)
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Store the whole profile, long rare-value lists included, as two Parquet tables under a folder."""
+        self.to_frame(spark).write.mode("overwrite").parquet(f"{path}/columns")
+        rare = self.rare if self.rare is not None else spark.createDataFrame([], "column_name string, value double")
+        rare.write.mode("overwrite").parquet(f"{path}/rare")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Profile:
+        """A profile stored by `write`, ready to derive new data."""
+        return Profile.from_frame(spark.read.parquet(f"{path}/columns"), spark.read.parquet(f"{path}/rare"))
+
     @staticmethod
     def from_frame(df: DataFrame, rare: DataFrame | None = None) -> Profile:
         """Read a stored profile back; it has one row per column."""
@@ -181,7 +198,13 @@ def profile_stacked(
         shapes |= {(r["column_name"], r["population"]): r for r in found.collect()}  # three rows a column
     decided = {c: _categorical(c, moments, stats.get(c), config) for c in categorical}
     decided |= {c: _continuous(c, moments, shapes, config) for c in continuous}
-    return Profile(tuple(decided[c] for c in columns), reduce(DataFrame.unionByName, rare) if rare else None)
+    found = tuple(decided[c] for c in columns)
+    long_lists = [p.column_name for p in found if p.long_list()]
+    if not long_lists:
+        return Profile(found)
+    # Counted once and kept in shared storage, so that deriving never goes back to the raw tables.
+    values = reduce(DataFrame.unionByName, rare).filter(F.col("column_name").isin(long_lists))
+    return Profile(found, checkpointed(values))
 
 
 def _categorical(c: str, moments: dict, stats: CategoryStats | None, config: Config) -> ColumnProfile:
@@ -206,8 +229,10 @@ def _continuous(c: str, moments: dict, shapes: dict, config: Config) -> ColumnPr
     sides = {}
     for p in ("train", "test"):
         m: Moments = moments[c, p]
-        if agreed == "normal" or w[p] is None:
+        if agreed == "normal":
             sides[p] = m
+        elif w[p] is None:
+            sides[p] = _few_logs(m, config.log_eps)
         else:
             # The shifted log is monotone, so its extremes come from those of the raw values.
             sides[p] = replace(m, mean=w[p]["log_mean"], sd=w[p]["log_sd"])
@@ -233,6 +258,16 @@ def _continuous(c: str, moments: dict, shapes: dict, config: Config) -> ColumnPr
     )
 
 
+def _few_logs(m: Moments, eps: float) -> Moments:
+    """Moments of the shifted log where W is undefined: one value, equal values or two; their extremes say all."""
+    if not m.n:
+        return m
+    low, high = math.log(eps), math.log(m.high - m.low + eps)
+    if m.low == m.high:
+        return replace(m, mean=low, sd=0.0)
+    return replace(m, mean=(low + high) / 2, sd=abs(high - low) / math.sqrt(2))
+
+
 def _max_abs_z(m: Moments, choice: str, defined: bool, eps: float) -> float | None:
     if not m.sd or not defined:
         return None

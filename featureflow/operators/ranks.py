@@ -8,6 +8,7 @@ running count plus the number of rows in the lower buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -26,10 +27,15 @@ COLUMNS_PER_JOB = 32
 
 
 def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Number of buckets so that each holds about `rows_per_bucket` rows."""
+    """Number of buckets with borders on the driver, so that each holds about `rows_per_bucket` rows or is divided further."""
     return max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
 
 
+def parts_per_bucket(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Even parts of the values of a bucket that keep a part at about `rows_per_bucket` rows however many there are."""
+    return max(1, -(-rows // (rows_per_bucket * bucket_count(rows, rows_per_bucket))))
+
+
 def blocks(columns: Sequence[str], size: int = COLUMNS_PER_JOB) -> list[Sequence[str]]:
     """Consecutive blocks of columns, each small enough for the generated code of one job."""
     return [columns[i : i + size] for i in range(0, len(columns), size)]
@@ -73,14 +79,31 @@ def add_buckets(
     ).transform(df)
 
 
+def _divided(value: Column, bucket: Column, points: Sequence[float], parts: int) -> Column:
+    """Bucket number, or with several parts bucket * parts + part; it never falls as the value rises.
+
+    The first and the last bucket have no outer border and are divided on the scale of their neighbours.
+    """
+    if parts == 1 or not points:
+        return bucket.cast("long")
+    width = (points[-1] - points[0]) / len(points) or 1.0
+    borders = F.array(*[F.lit(float(x)) for x in (points[0] - width, *points, points[-1] + width)])
+    low, high = F.get(borders, bucket.cast("int")), F.get(borders, bucket.cast("int") + 1)
+    part = F.floor((value - low) / (high - low) * parts)
+    return bucket.cast("long") * parts + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))
+
+
 def value_counts(
     df: DataFrame,
     columns: Sequence[str],
     flags: Mapping[str, Column],
     points: Mapping[str, Sequence[float]] | None = None,
+    parts: int = 1,
 ) -> DataFrame:
     """(item, bucket, value, n_<flag>...): distinct values of many columns in one pass.
 
+    With `parts` above 1 every bucket is cut into that many even parts, numbered through.
+
     `item` is the position of the column. Counting before anything is sorted leaves one row per
     distinct value and map task, so a value held by a third of the rows costs no more than any other.
     """
@@ -99,10 +122,10 @@ def value_counts(
         *[
             F.struct(
                 F.lit(i).alias("item"),
-                F.col(f"b{i}").cast("int").alias("bucket"),
+                _divided(F.col(f"v{i}"), F.col(f"b{i}"), points[c], parts).alias("bucket"),
                 F.col(f"v{i}").alias("value"),
             )
-            for i in range(len(columns))
+            for i, c in enumerate(columns)
         ]
     )
     long = wide.select(F.inline(cells), *[f"f_{name}" for name in flags]).filter("value IS NOT NULL")
@@ -120,8 +143,8 @@ def ordered_counts(
 
     `rows` is the row count of df, used only to choose the number of buckets.
     """
-    buckets = bucket_count(rows, rows_per_bucket)
-    counts = value_counts(df, columns, flags, split_points(df, columns, buckets, rows))
+    buckets, parts = bucket_count(rows, rows_per_bucket), parts_per_bucket(rows, rows_per_bucket)
+    counts = value_counts(df, columns, flags, split_points(df, columns, buckets, rows), parts)
     names = list(flags)
     window = W.partitionBy("item", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     running = counts.select(
@@ -129,24 +152,36 @@ def ordered_counts(
     )
     if buckets == 1:
         return running.select("item", "value", *[f"n_{f}" for f in names], *[F.col(f"r_{f}").alias(f"upto_{f}") for f in names])
-    # One row per bucket and column, at most MAX_BUCKETS a column: small enough to sort by column and to broadcast.
-    lower = W.partitionBy("item").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        counts.groupBy("item", "bucket")
-        .agg(*[F.sum(f"n_{f}").alias(f"n_{f}") for f in names])
-        .select("item", "bucket", *[F.coalesce(F.sum(f"n_{f}").over(lower), F.lit(0)).alias(f"o_{f}") for f in names])
-    )
-    return running.join(F.broadcast(offsets), ["item", "bucket"]).select(
+    sizes = counts.groupBy("item", "bucket").agg(*[F.sum(f"n_{f}").alias(f"n_{f}") for f in names])
+    offsets = starts(sizes, "bucket", {f"n_{f}": f"o_{f}" for f in names}, parts, ["item"]).select("item", "bucket", *[f"o_{f}" for f in names])
+    return running.join(offsets, ["item", "bucket"]).select(
         "item", "value", *[f"n_{f}" for f in names], *[(F.col(f"r_{f}") + F.col(f"o_{f}")).alias(f"upto_{f}") for f in names]
     )
 
 
+def starts(sizes: DataFrame, place: str, sums: Mapping[str, str], group: int = 1, within: Sequence[str] = ()) -> DataFrame:
+    """Append, for each size column, the sum over all rows of lower `place`; exact at any number of rows.
+
+    The prefix sum has two levels: inside groups of `group` consecutive places, and over the groups, so
+    that neither holds more rows in one task than there are groups or places in a group.
+    """
+    inside = W.partitionBy(*within, "__group").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    over = W.partitionBy(*within).orderBy("__group").rowsBetween(W.unboundedPreceding, -1)
+    grouped = sizes.withColumn("__group", F.floor(F.col(place) / group))
+    above = grouped.groupBy(*within, "__group").agg(*[F.sum(n).alias(n) for n in sums])
+    zero = F.lit(0).cast("bigint")
+    above = above.select(*within, "__group", *[F.coalesce(F.sum(n).over(over), zero).alias(f"__above_{o}") for n, o in sums.items()])
+    local = grouped.select("*", *[F.coalesce(F.sum(n).over(inside), zero).alias(f"__in_{o}") for n, o in sums.items()])
+    joined = local.join(above, [*within, "__group"])
+    return joined.select(*sizes.columns, *[(F.col(f"__in_{o}") + F.col(f"__above_{o}")).alias(o) for o in sums.values()])
+
+
 def with_row_num(
     df: DataFrame, key: str, name: str = "row_num", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Append 0..n-1 in the order of a unique, non-null numeric, date or timestamp key.
+    """Append 0..n-1 in the order of a unique numeric, date or timestamp key that every row has (else ValueError).
 
-    Two scans of the key column alone fix the buckets and their sizes; the table itself is
+    Three scans of the key column alone count it and fix the buckets and their sizes; the table itself is
     shuffled once, by bucket.
     """
     dtype = df.schema[key].dataType
@@ -155,42 +190,65 @@ def with_row_num(
         raise TypeError(f"{key} is {kind}; number rows by a numeric or temporal key, or use number_sorted")
     order = F.unix_micros(key) if kind == "timestamp" else F.unix_date(key) if kind == "date" else F.col(key)
     slim = df.select(order.cast("double").alias("k"))
-    rows = slim.count()
-    points = split_points(slim, ["k"], bucket_count(rows, rows_per_bucket), rows)
-    sized = add_buckets(slim, points, {"k": "bucket"}).groupBy("bucket").agg(F.count("*").alias("n"))
-    sizes = {r["bucket"]: r["n"] for r in sized.collect()}  # at most MAX_BUCKETS rows
-    starts, total = [], 0
-    for b in sorted(sizes):
-        starts.append((b, total))
-        total += sizes[b]
-    start = F.broadcast(df.sparkSession.createDataFrame(starts, "__bucket double, __start bigint"))
-    spread = add_buckets(df.withColumn("__k", order.cast("double")), {"__k": points["k"]}, {"__k": "__bucket"})
-    place = F.row_number().over(W.partitionBy("__bucket").orderBy(key)) - 1
+    rows, known = slim.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNotNull() & ~F.isnan("k"))).first()
+    if rows != known:
+        raise ValueError(f"{rows - known} rows have no {key}; rows are numbered by a key that every row has")
+    buckets, parts = bucket_count(rows, rows_per_bucket), parts_per_bucket(rows, rows_per_bucket)
+    points = split_points(slim, ["k"], buckets, rows)
+    place = _divided(F.col("__k"), F.col("__b"), points["k"], parts)
+    dealt = lambda d: add_buckets(d, {"__k": points["k"]}, {"__k": "__b"}).withColumn("__bucket", place).drop("__b")
+    sizes = dealt(slim.withColumnRenamed("k", "__k")).groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    start = _small(starts(sizes, "__bucket", {"n": "__start"}, max(parts, math.isqrt(buckets * parts))).select("__bucket", "__start"))
+    spread = dealt(df.withColumn("__k", order.cast("double")))
+    inner = F.row_number().over(W.partitionBy("__bucket").orderBy(key)) - 1
     return (
-        spread.withColumn("__place", place)
+        spread.withColumn("__place", inner)
         .join(start, "__bucket")
         .withColumn(name, F.col("__place") + F.col("__start"))
         .drop("__bucket", "__place", "__start", "__k")
     )
 
 
-def read_numbered(spark, path: str, name: str = "row_num") -> DataFrame:
-    """A Parquet table with 0..n-1 in file order: the row's index in its file plus the rows of earlier files.
+# A table of starts up to this size is sent to every task; a larger one is joined by a shuffle.
+SENT_STARTS = 20_000
+
+
+def _small(start: DataFrame) -> DataFrame:
+    """The starts, computed once and kept in shared storage, marked for broadcast if few enough."""
+    start = checkpointed(start)
+    return F.broadcast(start) if start.count() <= SENT_STARTS else start
+
 
-    No shuffle of the table; the join partner has one row per file.
+# Files whose starts are summed up in one task.
+FILES_PER_GROUP = 4_096
+
+
+def read_numbered(spark, path: str, name: str = "row_num", format: str = "parquet", schema=None, **options) -> DataFrame:
+    """A Parquet or CSV table with 0..n-1 in file order: the row's place in its file plus the rows of earlier files.
+
+    No row or file list reaches the driver, and the table is not shuffled for the join with its file starts
+    unless that table is large. Parquet rows know their place in the file. For CSV, rows of a file keep the
+    order of their blocks: places come from monotonically increasing ids, which follow the blocks of a file as they are read.
     """
-    df = spark.read.parquet(path)
-    tagged = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
-    files = df.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("n"))
-    starts, total = [], 0
-    for r in sorted(files.collect()):  # one row per file
-        starts.append((r["__file"], total))
-        total += r["n"]
-    start = F.broadcast(spark.createDataFrame(starts, "__file string, __start bigint"))
+    reader = spark.read.format(format).options(**options)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
+    if format == "parquet":
+        tagged = df.select("*", F.col("_metadata.file_path").alias("__file"), F.lit(0).cast("bigint").alias("__block"), F.col("_metadata.row_index").alias("__index"))
+        files = df.select(F.col("_metadata.file_path").alias("__file"), F.lit(0).cast("bigint").alias("__block"))
+    else:
+        block = F.col("_metadata.file_block_start").alias("__block")
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), block, F.monotonically_increasing_id().alias("__id"))
+        placed = checkpointed(placed)
+        first = placed.groupBy("__file", "__block").agg(F.min("__id").alias("__first"))
+        tagged = placed.join(first, ["__file", "__block"]).withColumn("__index", F.col("__id") - F.col("__first")).drop("__id", "__first")
+        files = placed.select("__file", "__block")
+    counts = files.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("n"))
+    ordered = number_sorted(counts, [F.col("__file"), F.col("__block")], "__place")
+    start = _small(starts(ordered, "__place", {"n": "__start"}, FILES_PER_GROUP).select("__file", "__block", "__start"))
     return (
-        tagged.join(start, "__file")
+        tagged.join(start, ["__file", "__block"])
         .withColumn(name, F.col("__index") + F.col("__start"))
-        .drop("__file", "__index", "__start")
+        .drop("__file", "__block", "__index", "__start")
     )
 
 

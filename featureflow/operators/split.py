@@ -16,7 +16,7 @@ def named_split(df: DataFrame, key: str, seed: int = 1, fraction: float = 0.75)
 def keyed_split(
     df: DataFrame, key: str, seed: int = 1, fraction: float = 0.75
 ) -> tuple[DataFrame, DataFrame]:
-    """The sample and its exact complement as two filters of one table; no join."""
+    """The sample and its exact complement, null keys included there, as two filters of one table; no join."""
     chosen = in_sample(F.col(key), seed, fraction)
     return df.filter(chosen), df.filter(~chosen)
 

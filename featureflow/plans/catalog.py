@@ -24,7 +24,7 @@ from ..operators.evaluate import area_under_roc, confusion, split_metrics, split
 from ..operators.joins import attach_columns, attach_labels, holdout
 from ..operators.models import refit, score, validate
 from ..operators.moments import column_moments, combine
-from ..operators.profile import profile_stacked
+from ..operators.profile import Profile, profile_stacked
 from ..operators.ranks import read_numbered, with_row_num
 from ..operators.shapiro import shapiro_wilk
 from ..operators.split import bernoulli_sample, keyed_split, named_split
@@ -32,6 +32,7 @@ from ..operators.summaries import class_rate, density, histogram
 from ..sources.champion import read_champion, write_champion
 from ..sources.storage import scratch_path
 from ..sources.tables import publish, read_csv, read_role, write_csv, write_predictions
+from .workflow import run
 
 SEED = 1
 SEEDS = (1, 2, 3, 4, 5)
@@ -270,6 +271,61 @@ def row_number_files(spark, folder):
     return read_numbered(spark, f"{folder.rstrip('/')}/orders.parquet").select("o_orderkey", "row_num")
 
 
+def row_number_csv(spark, folder):
+    """Dense numbers in file order over a folder of CSV files."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    path = scratch_path(spark, "orders")
+    orders.repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).csv(path)
+    return read_numbered(spark, path, format="csv", schema=orders.schema, header=True).select("o_orderkey", "row_num")
+
+
+def split_null_keys(spark, folder):
+    """Rows without a key are held out, by name and by filters alike; a share need not be a whole percent."""
+    orders = table(spark, folder, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("k"))
+    out = [named_split(orders, "k", SEED).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("named").alias("way"), "name", "n")]
+    for share in (0.75, 0.3333):
+        for name, side in zip(("train", "test"), keyed_split(orders, "k", SEED, share)):
+            out.append(side.agg(F.count("*").alias("n")).select(F.lit(f"keyed {share}").alias("way"), F.lit(name).alias("name"), "n"))
+    return _union(out)
+
+
+def bernoulli_checked(spark, folder):
+    """A Bernoulli draw holds rows of the table only, each once, about the share asked for, and again for the same seed."""
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    once, again = (bernoulli_sample(orders, SEED).withColumn("n", F.lit(1)) for _ in range(2))
+    pairs = once.join(again.withColumnRenamed("n", "m"), "o_orderkey", "full")
+    drawn = orders.withColumn("there", F.lit(True)).join(pairs, "o_orderkey", "full")
+    share = F.count("n") / F.count("there")
+    return drawn.agg(
+        F.count_if(F.col("n").isNotNull() & F.col("there").isNull()).alias("strangers"),
+        (F.count("n") - F.count_distinct(F.when(F.col("n").isNotNull(), F.col("o_orderkey")))).alias("repeats"),
+        share.between(0.7, 0.8).alias("plausible"),
+        F.count_if(F.col("n").isNull() != F.col("m").isNull()).alias("changed"),
+        F.count("there").alias("n"),
+    )
+
+
+def constant_side(spark, folder):
+    """A column that does not vary in test: its states are 0 there, and the report says so."""
+    events = _events(spark, folder).withColumn("value", F.when(F.col("name") == "train", F.col("value")).otherwise(5.25))
+    found = profile_stacked(events, ["value"])
+    kinds = F.array(*[F.lit(kind) for kind, _ in found["value"].mismatches()])
+    rows = derive(events, found, F.col("name"), ["event_id", "name"])
+    return rows.select(
+        "event_id", "name", F.round("value_state", 6).alias("state"), F.round("value_st_inter", 6).alias("interaction"),
+        F.array_contains(kinds, "constant").alias("reported"),
+    )
+
+
+def derive_stored_profile(spark, folder):
+    """Rare values beyond the inline list, from a profile written to storage and read again."""
+    events = _events(spark, folder)
+    path = scratch_path(spark, "profile")
+    profile_stacked(events, ["bucket"], Config(inline_rare=2)).write(spark, path)
+    found = Profile.read(spark, path)
+    return derive(events, found, F.col("name"), ["event_id", "bucket"]).select("event_id", "bucket", F.round("bucket_trunc_cat", 6).alias("bucket_trunc_cat"))
+
+
 def attach_columns_join(spark, folder):
     """Further columns by left join; documents without labels keep nulls."""
     documents = table(spark, folder, "documents").select("doc_id", "n_chars")
@@ -363,6 +419,49 @@ def standard_scale(spark, folder):
     return _assembled(spark, folder, Config(scale_data=True))
 
 
+def category_index_keep(spark, folder):
+    """Null and unseen categories get the same index from a model and from a joined table."""
+    sizes = table(spark, folder, "part").select(F.col("p_size").cast("string").alias("value"), (F.col("p_size") <= 40).alias("known"))
+    rows = sizes.select(F.when(F.col("value") != "7", F.col("value")).alias("value"), "known")
+    out = []
+    for path, most in (("model", 100_000), ("table", 0)):
+        indexed = fit_category_index(rows.filter("known"), ["value"], "keep", most).transform(rows)
+        counts = indexed.groupBy("value", F.col("value_Index").cast("bigint").alias("position")).agg(F.count("*").alias("n"))
+        out.append(counts.select(F.lit(path).alias("path"), "value", "position", "n"))
+    return _union(out)
+
+
+def _encoded(spark, folder, config: Config) -> tuple[DataFrame, int]:
+    """Vectors of a value and a category; what test rows lack is a label."""
+    events = _events(spark, folder).withColumn("label", F.lit(1.0))
+    train, test = (events.filter(F.col("name") == p) for p in ("train", "test"))
+    out = assemble(train, test, "event_id", "label", ["value", "bucket"], ["bucket"], config)
+    rows = out.train.select("id", "features").unionByName(out.test)
+    return rows.select("id", vector_to_array("features").alias("cells")), len(out.inputs) - 1
+
+
+def assemble_encoded(spark, folder):
+    """Raw value, raw category, index and k - 1 one-hot slots, fitted on both tables and scaled together."""
+    config = Config(cat_transform=True, scale_data=True, fit_on="union", keep_raw_categories=True)
+    rows, before = _encoded(spark, folder, config)
+    slots = F.slice("cells", before + 1, F.size("cells") - before)
+    lit = rows.withColumn("slots", slots).withColumn("top", F.array_max("slots"))
+    cell = lambda i: F.round(F.col("cells")[i], 6)
+    return lit.select(
+        "id", F.size("cells").cast("bigint").alias("width"), cell(0).alias("value"), cell(1).alias("bucket"), cell(2).alias("place"),
+        F.when(F.col("top") > 0, F.array_position("slots", F.col("top")) - 1).otherwise(-1).cast("bigint").alias("slot"),
+        F.round("top", 6).alias("top"),
+    )
+
+
+def assemble_encoded_train(spark, folder):
+    """The same category fitted on train alone: values only test has are zeros, like the last category."""
+    rows, before = _encoded(spark, folder, Config(cat_transform=True))
+    slots = F.slice("cells", before + 1, F.size("cells") - before)
+    slot = F.coalesce(F.array_position(slots, F.lit(1.0)), F.lit(0)) - 1
+    return rows.select("id", F.size("cells").cast("bigint").alias("width"), slot.cast("bigint").alias("slot"))
+
+
 # Evaluation and models
 
 
@@ -391,30 +490,38 @@ def auc(spark, folder):
 
 
 def _model_table(spark, folder) -> DataFrame:
+    """Labels that the columns explain: the return flag is independent of them in these tables, and a fit could not show."""
     lines = table(spark, folder, "lineitem").withColumn(
         "large", (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 50000).cast("double")
     )
     return assemble(lines, lines, "l_orderkey", "large", ["l_quantity", "l_extendedprice", "l_tax"]).train
 
 
-def _fit_config(spark, **settings) -> Config:
-    """The test table is one row group, so it would be fitted by a single core."""
-    return Config(partitions=spark.sparkContext.defaultParallelism, **settings)
+def _fit_config(**settings) -> Config:
+    """Fits of this size are bound by the number of tasks, so the rows stay in few partitions."""
+    return Config(rows_per_partition=250_000, parallelism=8, **settings)
+
+
+def _validated(spark, folder, config: Config) -> DataFrame:
+    """Per hold-out what can be recounted: its rows and labels, a 0/1 prediction for each row, better than chance."""
+    found = validate(_model_table(spark, folder), config)
+    complete = (F.col("p") + F.col("neg") == F.col("n")).alias("complete")
+    return found.select("seed", "n", "actual_pos", "actual_neg", complete, (F.col("recall") > F.col("fall_out")).alias("better"))
 
 
 def lr_cv(spark, folder):
-    """Cross-validated logistic regression over the whole grid, validated on a hold-out."""
-    return validate(_model_table(spark, folder), _fit_config(spark, model="lr", nfolds=2, num_splits=1, parallelism=8))
+    """Logistic regression, ten-fold cross-validated over the whole grid, on five hold-outs."""
+    return _validated(spark, folder, _fit_config(model="lr"))
 
 
 def svm(spark, folder):
-    """Linear SVM on two hold-outs."""
-    return validate(_model_table(spark, folder), _fit_config(spark, model="svm", num_splits=2))
+    """Linear SVM on five hold-outs."""
+    return _validated(spark, folder, _fit_config(model="svm"))
 
 
 def gbt(spark, folder):
-    """Gradient-boosted trees on two hold-outs."""
-    return validate(_model_table(spark, folder), _fit_config(spark, model="gbt", num_splits=2))
+    """Gradient-boosted trees on five hold-outs."""
+    return _validated(spark, folder, _fit_config(model="gbt"))
 
 
 def _documents(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -430,13 +537,29 @@ def _documents(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 
 def score_unlabelled(spark, folder):
-    """Refit on all labelled documents, score the others."""
+    """Refit on all labelled documents, score the others; every prediction is one of the two labels."""
     train, test = _documents(spark, folder)
     out = assemble(train, test, "doc_id", "quality", ["chars", "words", "digits"])
-    scored = score(refit(out.train, Config(model="lr", nfolds=3, partitions=1 + out.train.count() // 50_000)), out.test)
+    scored = score(refit(out.train, _fit_config(model="lr")), out.test)
     path = scratch_path(spark, "predictions")
     write_predictions(scored, "lr", path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("model_name", "id", F.col("prediction").isin(0.0, 1.0).alias("valid"))
+
+
+def workflow_run(spark, folder):
+    """The whole run on events: profile, derive, encode, scale, validate, gate, refit, score."""
+    noisy = F.col("value") + F.pmod(F.col("event_id") * 7919, F.lit(40)) > 35
+    bucket, hour = F.floor(F.col("value") / 10), F.hour("ts")
+    events = table(spark, folder, "events").select(
+        "event_id", "value", bucket.cast("double").alias("bucket"), hour.cast("double").alias("hour"), noisy.cast("double").alias("label")
+    )
+    named = named_split(events, "event_id", SEED)
+    train, test = named.filter("name = 'train'").drop("name"), named.filter("name = 'test'").drop("name", "label")
+    config = _fit_config(model="gbt", cat_transform=True, scale_data=True, fit_on="union")
+    done = run(train, test, "event_id", "label", ["value", "bucket", "hour"], scratch_path(spark, "champion"), scratch_path(spark, "predictions"), config)
+    decision = done.decision.select(F.col("name").alias("model_name"), "accepted")
+    valid = F.col("prediction").isin(0.0, 1.0).alias("valid")
+    return done.predictions.select("model_name", "id", valid).join(decision, "model_name")
 
 
 def champion_gate_row(spark, folder):
@@ -519,6 +642,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "svm": svm,
     "gbt": gbt,
     "score_unlabelled": score_unlabelled,
+    "workflow_run": workflow_run,
+    "category_index_keep": category_index_keep,
+    "assemble_encoded": assemble_encoded,
+    "assemble_encoded_train": assemble_encoded_train,
+    "row_number_csv": row_number_csv,
+    "split_null_keys": split_null_keys,
+    "bernoulli_checked": bernoulli_checked,
+    "constant_side": constant_side,
+    "derive_stored_profile": derive_stored_profile,
     "champion_gate": champion_gate_row,
     "csv_roundtrip": csv_roundtrip,
     "read_roles": read_roles,

@@ -207,7 +207,64 @@ def _index(table: str, column: str) -> str:
 _VECTORS = """SELECT name, l_orderkey AS id,
         CASE WHEN name = 'train' THEN CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS label,"""
 
+_BUCKETS = """i AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS position, n
+        FROM (SELECT bucket::VARCHAR AS value, count(*) AS n FROM e {} GROUP BY bucket))"""
+
+
+def _validated() -> str:
+    """Rows and labels of the five hold-outs."""
+    large = "l_extendedprice * (1 - l_discount) > 50000"
+    return " UNION ALL ".join(
+        f"SELECT {seed} AS seed, count(*) AS n, count(*) FILTER ({large}) AS actual_pos, count(*) FILTER (NOT ({large})) AS actual_neg, "
+        f"TRUE AS complete, TRUE AS better FROM lineitem WHERE {_role('l_orderkey', seed)} = 'test'"
+        for seed in range(1, 6)
+    )
+
+
 ORACLE: dict[str, str] = {
+    "lr_cv": _validated(),
+    "svm": _validated(),
+    "gbt": _validated(),
+    "score_unlabelled": """SELECT 'lr' AS model_name, doc_id AS id, TRUE AS valid FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "workflow_run": f"""WITH {EVENTS}
+        SELECT 'gbt_0.75_10.0_False_True_True_10.0_0.01_5.0_0.1' AS model_name, event_id AS id, TRUE AS valid, TRUE AS accepted
+        FROM e WHERE name = 'test'""",
+    "category_index_keep": """WITH p AS (SELECT CASE WHEN p_size <> 7 THEN p_size::VARCHAR END AS value, p_size <= 40 AS known FROM part),
+        i AS (SELECT value, row_number() OVER (ORDER BY count(*) DESC, value) - 1 AS position FROM p
+            WHERE known AND value IS NOT NULL GROUP BY value),
+        found AS (SELECT p.value, coalesce(position, (SELECT count(*) FROM i)) AS position, count(*) AS n
+            FROM p LEFT JOIN i ON p.value = i.value GROUP BY ALL)
+        SELECT path, value, position, n FROM found CROSS JOIN (VALUES ('model'), ('table')) AS t(path)""",
+    "assemble_encoded": f"""WITH {EVENTS}, {_BUCKETS.format('')},
+        placed AS (SELECT event_id, value AS v, bucket, (SELECT position FROM i WHERE i.value = bucket::VARCHAR) AS position,
+            (SELECT n FROM i WHERE i.value = bucket::VARCHAR) AS n FROM e),
+        s AS (SELECT stddev_samp(v) AS sv, stddev_samp(bucket) AS sb, stddev_samp(position) AS sp, count(*) AS total,
+            (SELECT count(*) FROM i) AS k FROM placed)
+        SELECT event_id AS id, k - 1 + 3 AS width, round(v / sv, 6) AS value, round(bucket / sb, 6) AS bucket, round(position / sp, 6) AS place,
+            CASE WHEN position < k - 1 THEN position ELSE -1 END AS slot,
+            CASE WHEN position < k - 1 THEN round(1 / sqrt((n - n::DOUBLE * n / total) / (total - 1)), 6) ELSE 0.0::DOUBLE END AS top
+        FROM placed CROSS JOIN s""",
+    "assemble_encoded_train": f"""WITH {EVENTS}, {_BUCKETS.format("WHERE name = 'train'")}, s AS (SELECT count(*) AS k FROM i)
+        SELECT event_id AS id, k AS width, CASE WHEN position < k - 1 THEN position ELSE -1 END AS slot
+        FROM e CROSS JOIN s LEFT JOIN i ON i.value = bucket::VARCHAR""",
+    "row_number_csv": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_num FROM orders",
+    "split_null_keys": """WITH k AS (SELECT ('0x' || substr(md5('1:' || o_orderkey::VARCHAR), 1, 8))::BIGINT AS h FROM orders WHERE o_orderkey % 7 <> 0),
+        t AS (SELECT count(*) AS total, (SELECT count(*) FROM k WHERE h % 100 < 75) AS a,
+            (SELECT count(*) FROM k WHERE h % 100 < 33 OR (h % 100 = 33 AND h // 100 < 0.33 * 4294967296 / 100)) AS b FROM orders)
+        SELECT 'named' AS way, 'train' AS name, a AS n FROM t UNION ALL SELECT 'named', 'test', total - a FROM t
+        UNION ALL SELECT 'keyed 0.75', 'train', a FROM t UNION ALL SELECT 'keyed 0.75', 'test', total - a FROM t
+        UNION ALL SELECT 'keyed 0.3333', 'train', b FROM t UNION ALL SELECT 'keyed 0.3333', 'test', total - b FROM t""",
+    "bernoulli_checked": "SELECT 0 AS strangers, 0 AS repeats, TRUE AS plausible, 0 AS changed, count(*) AS n FROM orders",
+    "constant_side": f"""WITH {EVENTS}, s AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd FROM e WHERE name = 'train'),
+        z AS (SELECT event_id, name, CASE WHEN name = 'train' THEN value ELSE 5.25::DOUBLE END AS v,
+            CASE WHEN name = 'train' AND abs((value - mu) / sd) >= {Z_CUT} THEN sign((value - mu) / sd)::DOUBLE ELSE 0.0::DOUBLE END AS state
+            FROM e CROSS JOIN s)
+        SELECT event_id, name, state, round(CASE WHEN state = 0 THEN v ELSE 0.0::DOUBLE END, 6) AS interaction, TRUE AS reported FROM z""",
+    "derive_stored_profile": f"""WITH {EVENTS}, c AS (SELECT bucket, count(*) AS n FROM e WHERE name = 'train' GROUP BY bucket),
+        rare AS (SELECT bucket FROM c WHERE round(n::DOUBLE / (SELECT max(n) FROM c), 4) <= 0.01)
+        SELECT event_id, bucket, round(CASE WHEN bucket IN (SELECT bucket FROM rare)
+            THEN (SELECT avg(bucket) FROM rare) ELSE bucket END, 6) AS bucket_trunc_cat FROM e""",
     "categorical_profile": " UNION ALL ".join(
         [_profiled("lineitem", c) for c in LINE_COLUMNS]
         + [_profiled("part", "p_size"), _profiled("part", "p_retailprice"), _profiled("orders", "o_totalprice")]
@@ -231,10 +288,10 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT 'bucket' AS column_name, bucket AS value FROM e
         WHERE name = 'test' AND bucket NOT IN (SELECT bucket FROM e WHERE name = 'train')""",
     "mismatch_report": f"""WITH {EVENTS}, {VALUE_SHAPES}
-        SELECT 'bucket' AS column_name, 'category' AS kind, 'test has categories not in training' AS detail
-        WHERE EXISTS (SELECT 1 FROM e WHERE name = 'test' AND bucket NOT IN (SELECT bucket FROM e WHERE name = 'train'))
+        SELECT 'bucket' AS column_name, 'category' AS kind, 'test only: ' || count(DISTINCT bucket) AS detail
+        FROM e WHERE name = 'test' AND bucket NOT IN (SELECT bucket FROM e WHERE name = 'train') HAVING count(*) > 0
         UNION ALL
-        SELECT column_name, 'transform', 'training set suggests ' || choice_train || ', while test set suggests ' || choice_test
+        SELECT column_name, 'transform', 'train: ' || choice_train || ', test: ' || choice_test
         FROM chosen WHERE choice_train <> choice_test""",
     "moments_zscore": f"""WITH {EVENTS}, a AS (SELECT name, value FROM e UNION ALL SELECT 'combined', value FROM e)
         SELECT name, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd,

@@ -62,7 +62,10 @@ def summarise(metrics: DataFrame, config: Config) -> DataFrame:
 def choose_model(
     assembled: Assembled, config: Config, champion_path: str, predictions_path: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(split metrics, gate row, predictions): refit on all of train and score test if the run wins."""
+    """(split metrics, gate row, predictions): refit on all of train and score test if the run wins.
+
+    The champion is recorded last, so that a run that fails on the way leaves the earlier one in place.
+    """
     metrics = validate(assembled.train, config)
     record = summarise(metrics, config)
     best = read_champion(metrics.sparkSession, champion_path)
@@ -72,10 +75,10 @@ def choose_model(
     )
     if not gate["accepted"]:
         return metrics, decision, None
-    write_champion(record, champion_path)
     scored = score(refit(assembled.train, config), assembled.test)
     if predictions_path is not None:
         write_predictions(scored, config.run_name(), predictions_path)
+    write_champion(record, champion_path)
     return metrics, decision, prediction_frame(scored, config.run_name())
 
 

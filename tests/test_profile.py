@@ -134,3 +134,37 @@ def test_ratios_count_train_only(spark):
     flags = {p: F.col("name") == p for p in ("train", "test")}
     got = {r["value"]: (r["n_train"], r["n_test"], r["ratio"]) for r in category_ratios(df, ["v"], flags).collect()}
     assert got == {1.0: (4, 0, 1.0), 2.0: (1, 0, 0.25), 3.0: (0, 1, None)}
+
+
+@pytest.mark.parametrize("values", [[3.4567], [2.5432, 2.5432], [1.2345, 3.4567]])
+def test_sides_without_a_defined_shape_get_the_moments_of_what_is_derived(spark, values):
+    train = spark.createDataFrame([(i, 0.0, 1.0 + float(np.exp(0.013 * i)) + 0.0001) for i in range(300)], "id long, label double, x double")
+    test = spark.createDataFrame([(1000 + i, v) for i, v in enumerate(values)], "id long, x double")
+    config = Config(log_eps=0.01)
+    found = profile(train, test, ["x"], config)
+    p = found["x"]
+    rows = sorted(derive(test, found, "test", ["id"], config).collect())
+    logs = [np.log(v - min(values) + 0.01) if p.choice != "normal" else v for v in values]
+    assert p.mean_test == pytest.approx(np.mean(logs))
+    if len(set(values)) > 1:
+        assert p.sd_test == pytest.approx(np.std(logs, ddof=1))
+    else:
+        assert ("constant", "test does not vary") in p.mismatches()
+    if p.kind == "state":
+        assert [r.x_state for r in rows] == [0.0] * len(values)
+        assert [r.x_st_inter for r in rows] == pytest.approx(logs)
+
+
+def test_a_stored_profile_keeps_long_lists_of_rare_values(spark, tmp_path):
+    rows = [(i, float(i % 3)) for i in range(3000)] + [(9000 + i, 100.0 + i) for i in range(20)]
+    table = spark.createDataFrame(rows, "id long, c double")
+    short, long = (profile(table, table, ["c"], Config(inline_rare=n)) for n in (1000, 2))
+    assert short["c"].kind == "trunc_cat" and long["c"].long_list() and not short["c"].long_list()
+    want = sorted(derive(table, short, "train", ["id"]).collect())
+    assert sorted(derive(table, long, "train", ["id"]).collect()) == want
+    long.write(spark, str(tmp_path / "p"))
+    stored = Profile.read(spark, str(tmp_path / "p"))
+    assert stored.columns == long.columns
+    assert sorted(derive(table, stored, "train", ["id"]).collect()) == want
+    with pytest.raises(ValueError, match="rare values of c"):
+        derive(table, Profile.from_frame(long.to_frame(spark)), "train", ["id"])

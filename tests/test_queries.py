@@ -14,7 +14,11 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+# 700 fits: ten folds of fourteen strengths on five hold-outs. tests/test_models.py has the same path with fewer.
+LONG = {"lr_cv"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - LONG))
 def test_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, FOLDER), con, ORACLE[name]) is None
 
@@ -34,4 +38,4 @@ def test_score_unlabelled_covers_every_unlabelled_document(spark, con):
     got = QUERIES["score_unlabelled"](spark, FOLDER).collect()
     want = con.execute("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)").fetchall()
     assert sorted(r.id for r in got) == sorted(w[0] for w in want)
-    assert {r.prediction for r in got} <= {0.0, 1.0}
+    assert all(r.valid for r in got)

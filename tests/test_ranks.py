@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from featureflow.operators import ranks
 from featureflow.operators.ranks import (
     bucket_count,
     number_sorted,
@@ -72,3 +73,21 @@ def test_sorted_numbers_of_text(spark):
     rows = number_sorted(df, [F.desc("w")]).collect()
     assert [r["w"] for r in sorted(rows, key=lambda r: r["row_num"])] == sorted(words, reverse=True)
     assert sorted(r["row_num"] for r in rows) == list(range(300))
+
+
+@pytest.mark.parametrize("rows_per_bucket", [2_000_000, 7])
+def test_row_numbers_refuse_null_keys_at_every_size(spark, rows_per_bucket):
+    rows = spark.createDataFrame([(i if i != 50 else None,) for i in range(100)], "k long")
+    with pytest.raises(ValueError, match="1 rows have no k"):
+        with_row_num(rows, "k", rows_per_bucket=rows_per_bucket)
+
+
+@pytest.mark.parametrize("most", [2, 5, 20_000])
+def test_results_do_not_depend_on_the_number_of_borders(spark, monkeypatch, most):
+    monkeypatch.setattr(ranks, "MAX_BUCKETS", most)
+    values = [float((i * 37) % 101) ** 2 for i in range(400)]
+    rows = spark.createDataFrame([(v, i * 3 - 50) for i, v in enumerate(values)], "x double, k long")
+    got = {r.value: (r.n_all, r.upto_all) for r in ranks.ordered_counts(rows, ["x"], {"all": F.lit(True)}, 400, 10).collect()}
+    assert got == {v: (values.count(v), sum(x <= v for x in values)) for v in set(values)}
+    numbered = with_row_num(rows, "k", rows_per_bucket=10).collect()
+    assert all(r.row_num == (r.k + 50) // 3 for r in numbered)

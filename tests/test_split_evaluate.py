@@ -28,13 +28,22 @@ def test_split_ignores_partitioning_and_depends_on_the_seed(spark):
     assert one != {r["id"] for r in keyed_split(ids, "id", 2)[0].collect()}
 
 
-def test_fractions_are_whole_percents():
-    with pytest.raises(ValueError):
-        in_sample(F.col("id"), 1, 0.755)
+def test_any_fraction_between_0_and_1(spark):
+    rows = spark.range(40000).select(*[in_sample(F.col("id"), 1, x).cast("int").alias(f"f{i}") for i, x in enumerate((0.33, 0.3355, 0.34))])
+    sums = rows.agg(*[F.sum(c) for c in rows.columns], F.sum(F.greatest(F.col("f0") - F.col("f1"), F.col("f1") - F.col("f2"))).alias("out")).first()
+    assert sums[0] < sums[1] < sums[2] and abs(sums[1] / 40000 - 0.3355) < 0.01 and sums["out"] <= 0
     with pytest.raises(ValueError):
         in_sample(F.col("id"), 1, 1.0)
 
 
+def test_null_keys_are_held_out_everywhere(spark):
+    rows = spark.createDataFrame([(i if i % 10 else None, 1.0, 1.0) for i in range(100)], "id long, label double, prediction double")
+    train, test = keyed_split(rows, "id")
+    assert train.count() + test.count() == 100 and test.filter("id IS NULL").count() == 10
+    assert named_split(rows, "id").filter("id IS NULL AND name = 'test'").count() == 10
+    assert split_metrics(rows, "id", [1]).first()["n"] == test.count()
+
+
 def test_folds_cover_and_are_even(spark):
     sizes = {r["f"]: r["count"] for r in spark.range(3000).groupBy(fold(F.col("id"), 3, 1).alias("f")).count().collect()}
     assert set(sizes) == {0, 1, 2} and min(sizes.values()) > 850
