@@ -141,7 +141,7 @@ def normal(line):
 
 
 def line_print(words):
-    hashes = [spark_hash(w) for w in words]
+    hashes = [xxhash.xxh64_intdigest(b.encode(), spark_hash(a)) for a, b in zip(words, words[1:])]
     bits = [*range(28), *range(32, 60)]
     return sum(1 << k for k, b in enumerate(bits) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 

@@ -15,7 +15,7 @@ def test_run(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{brute.FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     rows = [(i, t) for i, t in rows if brute.verdict(brute.measures(t))[1]]
     rows = sorted(brute.dedup_lines(rows).items())
-    groups = brute.near(rows, 5)
+    groups = brute.near(rows, 3)
     rows = [(i, brute.redact(t)) for i, t in rows if groups[i][1] == i]
     got = corpus_pipeline.run(spark, brute.FOLDER).collect()
     missing, sequences = _held(got, rows, 4096)

@@ -156,7 +156,7 @@ def test_native_operators_run_no_python(spark, odd):
 
 def test_line_print(spark):
     r = random.Random(5)
-    lists = [[f"w{r.randrange(50)}" for _ in range(n)] for n in (1, 2, 5, 63, 126, 127, 128, 254, 255, 700)]
+    lists = [[f"w{r.randrange(50)}" for _ in range(n)] for n in (2, 3, 5, 63, 126, 127, 128, 254, 255, 700)]
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)] * 3, "line long, norm string")
     assert {r.line: r.print for r in line_dedup.fingerprints(rows).collect()} == {i: brute.line_print(w) for i, w in enumerate(lists)}
 
