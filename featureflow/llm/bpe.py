@@ -39,8 +39,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def _folding(spec: dict | None) -> Callable[[str], str] | None:
-    """The normaliser of a tokenizer file, for the kinds known here."""
+def _folding(spec: dict | None, pattern: regex.Pattern) -> Callable[[str], str] | None:
+    """The normaliser of a tokenizer file, for the kinds known here.
+
+    Making white space one space changes no word if the pattern of words matches none of it, and is left out then.
+    """
     if spec is None:
         return None
     steps = []
@@ -50,7 +53,9 @@ def _folding(spec: dict | None) -> Callable[[str], str] | None:
         elif part["type"] == "Lowercase":  # letter by letter: a final sigma is not a case of its own
             steps.append(lambda t: t.replace("Σ", "σ").lower())
         elif part["type"] == "Replace" and part["pattern"] == {"Regex": "\\s+"}:
-            steps.append(lambda t, s=part["content"], p=regex.compile(r"\s+"): p.sub(s, t))
+            spaces = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
+            if part["content"] != " " or pattern.search(spaces):
+                steps.append(lambda t, s=part["content"], p=regex.compile(r"\s+"): p.sub(s, t))
         else:
             raise ValueError(f"unknown normaliser {part}")
 
@@ -83,7 +88,9 @@ class Bpe:
         parts = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         named = [p["pattern"]["Regex"] for p in parts if p["type"] == "Split"]
         self.pattern = regex.compile(named[0] if named else BYTE_LEVEL)
-        self.fold = _folding(spec["normalizer"])
+        self.fold = _folding(spec["normalizer"], self.pattern)
+        # A named pattern knows code points of its own Unicode version; texts with others go to the library.
+        self.path, self.library, self.usual = (path if named else None), None, set()
         back = {c: i for i, c in enumerate(letters)}
         table = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.bytes = [table.get(i, b"") for i in range(max(table) + 1)]
@@ -184,7 +191,7 @@ class Bpe:
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
         """(index of the text, packed ids of its next words), in order, at most TOGETHER words at once."""
-        for group in _grouped((i, w) for i, t in enumerate(texts) for w in self._chunks(t)):
+        for group in _grouped((i, w) for i, t in enumerate(texts) for w in ([self._library(t)] if self._strange(t) else self._chunks(t))):
             flat = self.packed([w for _, ws in group for w in ws if not isinstance(w, int)])
             at = 0
             for i, ws in group:
@@ -197,6 +204,24 @@ class Bpe:
                         at += 1
                 yield i, b"".join(parts)
 
+    def _strange(self, text: str) -> bool:
+        """Whether a text has code points without a category, which pattern and library may class differently."""
+        if self.path is None or text.isascii():
+            return False
+        new = set(text) - self.usual
+        strange = {c for c in new if unicodedata.category(c) == "Cn"}
+        self.usual |= new - strange
+        return bool(strange)
+
+    def _library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def _chunks(self, text: str) -> Iterator[list[str | int]]:
         if len(text) <= TOGETHER and not (self.cut and self.cut.search(text)):
             yield self.pattern.findall(self.fold(text) if self.fold else text)

@@ -33,6 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Bytes a member may need before its first decoded bytes appear.
 _PROBE = 1 << 16
 _READ = 1 << 20
+# Up to so many tasks read one range each; beyond, each reads several.
+TASKS = 20_000
 # Decoded bytes handed on in one batch.
 _BATCH = 8 << 20
 
@@ -69,8 +71,8 @@ def is_head(data: bytes) -> bool:
 def member(record: bytes, level: int = 6) -> bytes:
     """One gzip member that holds no other acceptable start of a record."""
     data = b""
-    for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FIXED):
-        packer = zlib.compressobj(level, zlib.DEFLATED, 31, 9, strategy)
+    for strength, strategy in ((level, zlib.Z_DEFAULT_STRATEGY), (level or 1, zlib.Z_FIXED)):
+        packer = zlib.compressobj(strength, zlib.DEFLATED, 31, 9, strategy)
         data = packer.compress(record) + packer.flush()
         at = data.find(MAGIC, 1)
         while at > 0 and not is_head(data[at : at + _PROBE]):
@@ -236,8 +238,12 @@ def read_warc(files: DataFrame, file: str = "file", size: str = "bytes", range_b
     reading goes on behind its head. Fields keep the last of repeated names, in lower case. Without
     `payloads` that column is null. Empty files and an empty list give no rows; a null length counts as empty.
     """
+    full = files.where(F.col(size) > 0)
     starts = F.explode(F.expr(f"sequence(0L, {size} - 1, {int(range_bytes)}L)"))
-    listed = files.where(F.col(size) > 0).select(F.col(file).alias("file"), starts.alias("start"))
+    listed = full.select(F.col(file).alias("file"), starts.alias("start"))
+    # By number: ranges are rows of a few bytes, which the planner would otherwise put into one task.
+    ranges = full.agg(F.sum(F.ceil(F.col(size) / range_bytes))).first()[0] or 1
+    listed = listed.repartition(int(min(ranges, TASKS)))
     names = [part.split()[0] for part in RECORDS.replace("map<string,string>", "map").split(", ")]
     schema = pa.schema(
         [(n, {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary(),
@@ -259,7 +265,7 @@ def read_warc(files: DataFrame, file: str = "file", size: str = "bytes", range_b
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return listed.repartition("file", "start").mapInArrow(read, RECORDS)
+    return listed.mapInArrow(read, RECORDS)
 
 
 def archives(spark, folder: str) -> DataFrame:
