@@ -33,13 +33,13 @@ class Rule(NamedTuple):
 # Published ranges for web text, widened to 20 words below, and without a largest length.
 RULES = (
     Rule("words", "n_words", 20, None),
-    Rule("repeated_words", "100 * n_repeat_words / n_words", None, 30),
-    Rule("word_length", "word_chars / n_words", 2, 14),
-    Rule("symbols", "n_symbols / n_words", None, 0.1),
-    Rule("stop_words", "n_stop_words / n_words", 0.02, None),
-    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
-    Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
-    Rule("open_lines", "n_open_lines / n_lines", None, 0.3),
+    Rule("repeated_words", "try_divide(100 * n_repeat_words, n_words)", None, 30),
+    Rule("word_length", "try_divide(word_chars, n_words)", 2, 14),
+    Rule("symbols", "try_divide(n_symbols, n_words)", None, 0.1),
+    Rule("stop_words", "try_divide(n_stop_words, n_words)", 0.02, None),
+    Rule("repeated_lines", "try_divide(n_dup_lines, n_lines)", None, 0.3),
+    Rule("bullet_lines", "try_divide(n_bullet_lines, n_lines)", None, 0.9),
+    Rule("open_lines", "try_divide(n_open_lines, n_lines)", None, 0.3),
 )
 
 
