@@ -22,13 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the format: tags whose content is not text, tags without content, and tags inside a line.
-HIDDEN = frozenset("script style noscript template head title textarea select svg math iframe object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template head title textarea select svg iframe annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+    "semantics annotation annotation-xml".split()
 )
+# Tags that leave an open head open; any other tag, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 # A new tag of the first kind ends an open one of the second, up to a tag of the third.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -84,6 +88,13 @@ def blocks(page: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[at:]
 
+    def end_head() -> None:
+        for place in range(len(stack) - 1, -1, -1):
+            if stack[place][0] == "head":
+                return close(place)
+            if stack[place][0] == "template":
+                return
+
     page, at = page or "", 0
     while match := _TOKEN.match(page, at):
         at = match.end()
@@ -91,6 +102,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag is None:
             token = match[0]
             if not token.startswith("<") or token == "<":
+                if hidden and stack[-1][0] == "head" and not token.isspace():
+                    end_head()
                 if not hidden:
                     text = html.unescape(token) if "&" in token else token
                     parts.append(text)
@@ -110,7 +123,11 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if tag in VOID or tag == "svg" and match[3].endswith("/"):
+            if hidden and tag not in IN_HEAD:
+                end_head()
             continue
+        if hidden and tag not in IN_HEAD:
+            end_head()
         names, ends = CLOSES.get(tag, ((), ()))
         if tag in NOT_IN_P:
             names, ends = (*names, "p"), (*ends, "div", "article", "section", "td", "li", "body", "main", "aside", "form", "blockquote")
