@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from featureflow.llm import bpe, html_text, licenses, line_dedup, packing, quality, secret_scan, simhash, vectors, warc
+from featureflow.llm import bpe, clustering, conversation_repair, html_text, licenses, line_dedup, packing, quality, secret_scan, simhash, vectors, warc
 from featureflow.sources.storage import scratch_path
 
 
@@ -74,6 +74,15 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(_table(spark, folder, "embeddings"), size=64)
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), ids=rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -85,9 +94,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_packing": op9_packing,
     "op10_html": op10_html,
+    "op12_centroids": op12_centroids,
+    "op13_conversations": op13_conversations,
 }
 
+def _clustered_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """The rounds of op12 as common table expressions: a0, c1, a1, ..., the last assignment."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INT AS c, v FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= {clusters})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best
+            FROM (SELECT kept.*, c, list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+                  FROM kept CROSS JOIN c{r})
+            GROUP BY i)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+                SELECT c{r}.c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+                    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS v
+                    FROM (SELECT c, p, sum(x) AS s, count(*) AS n
+                          FROM (SELECT best.c AS c, generate_subscripts(v, 1) AS p, unnest(v) AS x FROM a{r}) GROUP BY c, p)
+                    GROUP BY c) m ON m.c = c{r}.c)"""
+            )
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+               (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_centroids": _clustered_sql(),
     "op2_warc": """
         WITH pages_ AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         hashed AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM pages_),
