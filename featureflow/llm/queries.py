@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from featureflow.llm import bpe, clustering, conversation_repair, html_text, licenses, line_dedup, packing, quality, secret_scan, simhash, vectors, warc
+from featureflow.llm import bpe, clustering, conversation_repair, html_text, licenses, line_dedup, packing, pii, quality, secret_scan, simhash, vectors, warc
 from featureflow.sources.storage import scratch_path
 
 
@@ -74,6 +74,16 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(_table(spark, folder, "documents"))
+    names = F.array(*map(F.lit, (*pii.KINDS, pii.TERM)))
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    base = F.sha2(told(F.filter("spans", lambda x: x["kind"] < len(pii.KINDS))), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, told("spans").alias("spans"))
+
+
 def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.cluster(_table(spark, folder, "embeddings"), size=64)
 
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_packing": op9_packing,
     "op10_html": op10_html,
+    "op11_pii": op11_pii,
     "op12_centroids": op12_centroids,
     "op13_conversations": op13_conversations,
 }
