@@ -6,6 +6,8 @@ recomputed task after a lost executor cannot move rows between train and hold-ou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,27 @@ def split_name(key: Column, seed: int, fraction: float = 0.75) -> Column:
 def fold(key: Column, folds: int, seed: int) -> Column:
     """Fold number 0..folds-1, independent of the train/hold-out split of the same seed; 0 for a null key."""
     return F.coalesce(key_slot(key, seed + 1_000_003, folds), F.lit(0)).cast("int")
+
+
+def membership(key: Column, seeds: Sequence[int], fraction: float = 0.75, folds: int = 0, fold_seed: int = 0) -> Column:
+    """All that is decided about a key as one number: bit i tells whether the sample of seed i holds it, its fold stands above.
+
+    Stored once, it turns every later split and fold into a bit test (`sampled`, `fold_number`).
+    """
+    bits = [F.when(in_sample(key, s, fraction), F.lit(1 << i).cast("bigint")).otherwise(0) for i, s in enumerate(seeds)]
+    if folds:
+        bits.append(F.shiftleft(fold(key, folds, fold_seed).cast("bigint"), len(seeds)))
+    whole = F.lit(0).cast("bigint")
+    for b in bits:
+        whole = whole.bitwiseOR(b)
+    return whole
+
+
+def sampled(member: Column, i: int) -> Column:
+    """Whether the sample of the i-th seed holds the row."""
+    return F.shiftright(member, i).bitwiseAND(F.lit(1)) == 1
+
+
+def fold_number(member: Column, seeds: int) -> Column:
+    """The fold stored above the bits of so many seeds."""
+    return F.shiftright(member, seeds).cast("int")

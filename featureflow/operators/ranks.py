@@ -99,8 +99,9 @@ def value_counts(
     flags: Mapping[str, Column],
     points: Mapping[str, Sequence[float]] | None = None,
     parts: int = 1,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """(item, bucket, value, n_<flag>...): distinct values of many columns in one pass.
+    """(item, <within>, bucket, value, n_<flag>...): distinct values of many columns in one pass.
 
     With `parts` above 1 every bucket is cut into that many even parts, numbered through.
 
@@ -110,6 +111,7 @@ def value_counts(
     wide = df.select(
         *[as_number(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)],
         *[f.cast("int").alias(f"f_{name}") for name, f in flags.items()],
+        *within,
     )
     if points is None:
         points = {c: [] for c in columns}
@@ -128,8 +130,8 @@ def value_counts(
             for i, c in enumerate(columns)
         ]
     )
-    long = wide.select(F.inline(cells), *[f"f_{name}" for name in flags]).filter("value IS NOT NULL")
-    return long.groupBy("item", "bucket", "value").agg(*[F.sum(f"f_{name}").alias(f"n_{name}") for name in flags])
+    long = wide.select(F.inline(cells), *[f"f_{name}" for name in flags], *within).filter("value IS NOT NULL")
+    return long.groupBy("item", *within, "bucket", "value").agg(*[F.sum(f"f_{name}").alias(f"n_{name}") for name in flags])
 
 
 def ordered_counts(
@@ -138,24 +140,25 @@ def ordered_counts(
     flags: Mapping[str, Column],
     rows: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """(item, value, n_<flag>, upto_<flag>): counts and counts up to and including each value.
+    """(item, <within>, value, n_<flag>, upto_<flag>): counts and counts up to and including each value, apart for each of `within`.
 
     `rows` is the row count of df, used only to choose the number of buckets.
     """
     buckets, parts = bucket_count(rows, rows_per_bucket), parts_per_bucket(rows, rows_per_bucket)
-    counts = value_counts(df, columns, flags, split_points(df, columns, buckets, rows), parts)
-    names = list(flags)
-    window = W.partitionBy("item", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = value_counts(df, columns, flags, split_points(df, columns, buckets, rows), parts, within)
+    names, items = list(flags), ["item", *within]
+    window = W.partitionBy(*items, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     running = counts.select(
-        "item", "bucket", "value", *[f"n_{f}" for f in names], *[F.sum(f"n_{f}").over(window).alias(f"r_{f}") for f in names]
+        *items, "bucket", "value", *[f"n_{f}" for f in names], *[F.sum(f"n_{f}").over(window).alias(f"r_{f}") for f in names]
     )
     if buckets == 1:
-        return running.select("item", "value", *[f"n_{f}" for f in names], *[F.col(f"r_{f}").alias(f"upto_{f}") for f in names])
-    sizes = counts.groupBy("item", "bucket").agg(*[F.sum(f"n_{f}").alias(f"n_{f}") for f in names])
-    offsets = starts(sizes, "bucket", {f"n_{f}": f"o_{f}" for f in names}, parts, ["item"]).select("item", "bucket", *[f"o_{f}" for f in names])
-    return running.join(offsets, ["item", "bucket"]).select(
-        "item", "value", *[f"n_{f}" for f in names], *[(F.col(f"r_{f}") + F.col(f"o_{f}")).alias(f"upto_{f}") for f in names]
+        return running.select(*items, "value", *[f"n_{f}" for f in names], *[F.col(f"r_{f}").alias(f"upto_{f}") for f in names])
+    sizes = counts.groupBy(*items, "bucket").agg(*[F.sum(f"n_{f}").alias(f"n_{f}") for f in names])
+    offsets = starts(sizes, "bucket", {f"n_{f}": f"o_{f}" for f in names}, parts, items).select(*items, "bucket", *[f"o_{f}" for f in names])
+    return running.join(offsets, [*items, "bucket"]).select(
+        *items, "value", *[f"n_{f}" for f in names], *[(F.col(f"r_{f}") + F.col(f"o_{f}")).alias(f"upto_{f}") for f in names]
     )
 
 
