@@ -120,52 +120,53 @@ def redact(text, mark="[SECRET]"):
     return "".join(out) + text[at:]
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 def spark_hash(value):
     return xxhash.xxh64_intdigest(value.encode(), 42)
 
 
 def normal(line):
+    """Words of a line as they are compared; none if it has no letter or digit."""
     import regex
 
-    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", re.sub("[0-9]+", "0", line.lower())) if w]
-    return words if len(words) >= 5 else None
+    return [w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", re.sub("[0-9]+", "0", line.lower())) if w]
 
 
-def line_print(words):
-    hashes = [xxhash.xxh64_intdigest(b.encode(), spark_hash(a)) for a, b in zip(words, words[1:])]
-    bits = [*range(28), *range(32, 60)]
-    return sum(1 << k for k, b in enumerate(bits) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def line_blocks(words):
+    """The keys of a line: (blocks, fingerprint, block, SimHash of the block's words)."""
+    import regex
+
+    letter = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*"
+    if any(c >= "\u0e00" for w in words for c in w):
+        words = [w for x in words for w in regex.sub(f"({letter})", r" \1 ", x).split()]
+    if len(words) < 5:
+        return set()
+    told, keys = sorted(set(words)), set()
+    size = lambda found: sum(len(w.encode()) + 1 for w in found)
+    for n in (len(told), (5 * len(told) + 3) // 4):
+        bits = max(1, ((n - 1) // 8).bit_length())
+        for turn, place in enumerate((20, 42)):
+            shares = {}
+            for w in told:
+                shares.setdefault(spark_hash(w) >> place & ((1 << bits) - 1), []).append(w)
+            for k, found in shares.items():
+                if size(found) >= 30 or 2 * size(found) >= size(told):
+                    hashes = [spark_hash(w) for w in found]
+                    keys.add((bits, turn, k, sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
+    return keys
 
 
 def dedup_lines(rows):
     """{doc_id: text} for (doc_id, text) rows with distinct ids."""
-    places, sets, prints = [], Sets(), {}
+    places, sets, blocks = [], Sets(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         for at, line in enumerate((text or "").split("\n")):
             if words := normal(line):
                 places.append((" ".join(words), i, at))
-                prints[places[-1][0]] = line_print(words)
-    lines = sorted(prints)
-    values = np.array([prints[x] for x in lines], np.uint64)
-    for a, x in enumerate(lines):
-        for b in np.nonzero(np.bitwise_count(values[a + 1 :] ^ values[a]) <= 2)[0] + a + 1:
-            y = lines[b]
-            if max(len(x), len(y)) <= 2000:
-                alike = levenshtein(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)
-            else:
-                p, q = set(x.split(" ")), set(y.split(" "))
-                alike = len(p & q) >= 0.8 * len(p | q)
-            if alike:
-                sets.join(x, y)
+                for key in line_blocks(words):
+                    blocks.setdefault(key, set()).add(places[-1][0])
+    pairs = {(x, y) for found in blocks.values() for x in found for y in found if x < y}
+    for x, y in edits(pairs):
+        sets.join(x, y)
     seen, gone = set(), set()
     for norm, i, at in places:
         root = sets.find(norm)
@@ -175,5 +176,15 @@ def dedup_lines(rows):
     return {i: t if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone) for i, t in rows}
 
 
+def edits(pairs):
+    """The pairs within a fifth of the longer length in edit distance, by DuckDB."""
+    import duckdb
+    import pandas as pd
+
+    told = pd.DataFrame(sorted(pairs), columns=["x", "y"])  # noqa: F841
+    near = "levenshtein(x, y) <= floor(0.2 * greatest(length(x), length(y)) + 1e-9)"
+    return duckdb.sql(f"SELECT x, y FROM told WHERE {near}").fetchall() if len(pairs) else []
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
