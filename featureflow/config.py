@@ -14,12 +14,16 @@ REG_PARAMS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.
 
 @dataclass(frozen=True)
 class Config:
-    """All knobs of profiling, encoding and modelling."""
+    """All knobs of profiling, encoding and modelling.
+
+    `log_shifts` are further shifts of the log, tried beside `log_eps`: each column keeps the one whose W in train is largest.
+    """
 
     category_trunc_threshold: float = 0.01
     unbalanced_threshold: float = 10.0
     z_cut: float = Z_CUT
     log_eps: float = LOG_EPS
+    log_shifts: tuple[float, ...] = ()
     inline_rare: int = 1_000
     category_convert: bool = False
     cat_transform: bool = False

@@ -24,7 +24,8 @@ def _per_role(p: ColumnProfile, stat: str, role: str | Column) -> Column:
 def transformed(p: ColumnProfile, role: str | Column, config: Config = Config()) -> Column:
     """The raw or shift-logged value, as the profile chose."""
     x = as_number(F.col(p.column_name))
-    return x if p.choice == "normal" else shift_log(x, _per_role(p, "low", role), config.log_eps)
+    eps = config.log_eps if p.log_eps is None else p.log_eps
+    return x if p.choice == "normal" else shift_log(x, _per_role(p, "low", role), eps)
 
 
 def derived_columns(p: ColumnProfile, role: str | Column, config: Config = Config()) -> list[Column]:

@@ -55,6 +55,7 @@ class ColumnProfile:
     mean_test: float | None = None
     sd_train: float | None = None
     sd_test: float | None = None
+    log_eps: float | None = None
 
     def long_list(self) -> bool:
         """Whether the rare values stand in the profile's table rather than here."""
@@ -100,6 +101,7 @@ PROFILE_SCHEMA = T.StructType(
             for s in ("low", "mean", "sd")
             for p in ("train", "test")
         ],
+        T.StructField("log_eps", T.DoubleType()),
     ]
 )
 
@@ -194,8 +196,10 @@ def profile_stacked(
         rare.append(values)
     shapes = {}
     for block in blocks(continuous):
-        found = shapiro_from_moments(df, block, flags, moments, POPULATIONS, config.log_eps, rows_per_bucket)
-        shapes |= {(r["column_name"], r["population"]): r for r in found.collect()}  # three rows a column
+        found = shapiro_from_moments(df, block, flags, moments, POPULATIONS, (config.log_eps, *config.log_shifts), rows_per_bucket)
+        rows = found.collect()  # three rows a column and shift
+        kept = {c: _best_shift([r for r in rows if r["column_name"] == c], config) for c in block}
+        shapes |= {(r["column_name"], r["population"]): r for r in rows if r["eps"] == kept[r["column_name"]]}
     decided = {c: _categorical(c, moments, stats.get(c), config) for c in categorical}
     decided |= {c: _continuous(c, moments, shapes, config) for c in continuous}
     found = tuple(decided[c] for c in columns)
@@ -220,8 +224,16 @@ def _categorical(c: str, moments: dict, stats: CategoryStats | None, config: Con
     return base
 
 
+def _best_shift(rows: list, config: Config) -> float:
+    """The shift with the largest W of the log in train, the first of several."""
+    w = {r["eps"]: r["w_log"] for r in rows if r["population"] == "train" and r["w_log"] is not None}
+    shifts = [float(e) for e in (config.log_eps, *config.log_shifts)]
+    return max(shifts, key=lambda e: (w.get(e, -1.0), -shifts.index(e)))
+
+
 def _continuous(c: str, moments: dict, shapes: dict, config: Config) -> ColumnProfile:
     w = {p: shapes.get((c, p)) for p in POPULATIONS}
+    eps = next((r["eps"] for r in w.values() if r), config.log_eps)
     choices = {
         p: normal_or_log(r["w_raw"] if r else None, r["w_log"] if r else None) for p, r in w.items()
     }
@@ -232,12 +244,12 @@ def _continuous(c: str, moments: dict, shapes: dict, config: Config) -> ColumnPr
         if agreed == "normal":
             sides[p] = m
         elif w[p] is None:
-            sides[p] = _few_logs(m, config.log_eps)
+            sides[p] = _few_logs(m, eps)
         else:
             # The shifted log is monotone, so its extremes come from those of the raw values.
             sides[p] = replace(m, mean=w[p]["log_mean"], sd=w[p]["log_sd"])
     train = sides["train"]
-    top = _max_abs_z(train, agreed, w["train"] is not None, config.log_eps)
+    top = _max_abs_z(train, agreed, w["train"] is not None, eps)
     kind = "state" if top is not None and top > config.z_cut else "N" if agreed == "normal" else "LN"
     return ColumnProfile(
         c,
@@ -255,6 +267,7 @@ def _continuous(c: str, moments: dict, shapes: dict, config: Config) -> ColumnPr
         mean_test=sides["test"].mean,
         sd_train=train.sd,
         sd_test=sides["test"].sd,
+        log_eps=eps,
     )
 
 

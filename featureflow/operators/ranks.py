@@ -8,6 +8,7 @@ running count plus the number of rows in the lower buckets.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 
@@ -182,15 +183,17 @@ def starts(sizes: DataFrame, place: str, sums: Mapping[str, str], group: int = 1
 def with_row_num(
     df: DataFrame, key: str, name: str = "row_num", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Append 0..n-1 in the order of a unique numeric, date or timestamp key that every row has (else ValueError).
+    """Append 0..n-1 in the order of a unique numeric, date, timestamp or string key that every row has (else ValueError).
 
     Three scans of the key column alone count it and fix the buckets and their sizes; the table itself is
-    shuffled once, by bucket.
+    shuffled once, by bucket. Strings stand in the order of their code points.
     """
     dtype = df.schema[key].dataType
     kind = dtype.typeName()
+    if isinstance(dtype, T.StringType):
+        return _with_text_num(df, key, name, rows_per_bucket)
     if not isinstance(dtype, T.NumericType) and kind not in ("date", "timestamp"):
-        raise TypeError(f"{key} is {kind}; number rows by a numeric or temporal key, or use number_sorted")
+        raise TypeError(f"{key} is {kind}; number rows by a numeric, temporal or string key, or use number_sorted")
     order = F.unix_micros(key) if kind == "timestamp" else F.unix_date(key) if kind == "date" else F.col(key)
     slim = df.select(order.cast("double").alias("k"))
     rows, known = slim.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNotNull() & ~F.isnan("k"))).first()
@@ -212,6 +215,59 @@ def with_row_num(
     )
 
 
+# Characters of a sampled string that are kept as a border.
+BORDER_CHARS = 64
+
+
+def text_borders(df: DataFrame, column: str, buckets: int, rows: int) -> list[str]:
+    """Strictly increasing inner borders from a sample of SAMPLE_PER_BUCKET strings a bucket; they only balance the work."""
+    if buckets <= 1:
+        return []
+    fraction = buckets * SAMPLE_PER_BUCKET / max(rows, 1)
+    drawn = df.sample(withReplacement=False, fraction=fraction, seed=buckets) if fraction < 1 else df
+    found = sorted(r[0] for r in drawn.select(F.substring(column, 1, BORDER_CHARS)).limit(2 * buckets * SAMPLE_PER_BUCKET).collect())
+    step = max(1, len(found) // buckets)
+    return sorted(set(found[step::step]))
+
+
+def text_bucket(value: Column, borders: Sequence[str]) -> Column:
+    """How many borders are at or below a string, by binary search in built-in expressions."""
+    if not borders:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(list(borders))), "array<string>")  # one folded literal, not a node per border
+    low, high = F.lit(0).alias("low"), F.lit(len(borders)).alias("high")
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.get(table, middle) <= value
+        open_ = s["low"] < s["high"]
+        return F.struct(
+            F.when(open_ & above, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~above, middle).otherwise(s["high"]).alias("high")
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
+    return F.aggregate(steps, F.struct(low, high), halved, lambda s: s["low"])
+
+
+def _with_text_num(df: DataFrame, key: str, name: str, rows_per_bucket: int) -> DataFrame:
+    slim = df.select(F.col(key).alias("k"))
+    rows, known = slim.agg(F.count(F.lit(1)), F.count("k")).first()
+    if rows != known:
+        raise ValueError(f"{rows - known} rows have no {key}; rows are numbered by a key that every row has")
+    buckets = bucket_count(rows, rows_per_bucket)
+    borders = text_borders(slim, "k", buckets, rows)
+    sizes = slim.groupBy(text_bucket(F.col("k"), borders).alias("__bucket")).agg(F.count(F.lit(1)).alias("n"))
+    start = _small(starts(sizes, "__bucket", {"n": "__start"}, math.isqrt(buckets) + 1).select("__bucket", "__start"))
+    spread = df.withColumn("__bucket", text_bucket(F.col(key), borders))
+    inner = F.row_number().over(W.partitionBy("__bucket").orderBy(key)) - 1
+    return (
+        spread.withColumn("__place", inner)
+        .join(start, "__bucket")
+        .withColumn(name, F.col("__place") + F.col("__start"))
+        .drop("__bucket", "__place", "__start")
+    )
+
+
 # A table of starts up to this size is sent to every task; a larger one is joined by a shuffle.
 SENT_STARTS = 20_000
 

@@ -23,7 +23,7 @@ CONSTANTS_SCHEMA = (
     "item int not null, pop string not null, n double not null, mean double not null, low double not null, "
     "high double not null, ss double not null, center double not null, tail array<double> not null, "
     "offset double not null, inv_root double not null, m_last double not null, m_next double not null, "
-    "a_last double not null, a_next double not null"
+    "a_last double not null, a_next double not null, eps double not null"
 )
 
 
@@ -35,7 +35,7 @@ def _constants(item: int, pop: str, m: Moments, eps: float) -> tuple | None:
     center = math.log(m.mean - m.low + eps)
     return (
         item, pop, float(m.n), m.mean, m.low, m.high, m.sd**2 * (m.n - 1), center,
-        s["tail"], s["offset"], s["inv_root"], s["m_last"], s["m_next"], s["a_last"], s["a_next"],
+        s["tail"], s["offset"], s["inv_root"], s["m_last"], s["m_next"], s["a_last"], s["a_next"], eps,
     )
 
 
@@ -55,10 +55,12 @@ def shapiro_from_moments(
     flags: Mapping[str, Column],
     moments: Mapping[tuple[str, str], Moments],
     populations: Mapping[str, Sequence[str]],
-    eps: float = LOG_EPS,
+    eps: float | Sequence[float] = LOG_EPS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """(column_name, population, n, w_raw, w_log, log_mean, log_sd).
+    """(column_name, population, n, w_raw, w_log, log_mean, log_sd, eps), a row for each eps.
+
+    The logs of all shifts have the order of the raw values, so any number of them is judged in one ordered pass.
 
     `flags` mark disjoint parts of df; each population is a union of parts, so the combined
     population needs no second copy of the rows. Undefined columns (fewer than three values, or a
@@ -66,7 +68,8 @@ def shapiro_from_moments(
     """
     spark = df.sparkSession
     stats = {(c, p): combine([moments[c, part] for part in parts]) for c in columns for p, parts in populations.items()}
-    known = [_constants(i, p, stats[c, p], eps) for i, c in enumerate(columns) for p in populations]
+    shifts = [eps] if isinstance(eps, float | int) else list(eps)
+    known = [_constants(i, p, stats[c, p], float(e)) for i, c in enumerate(columns) for p in populations for e in shifts]
     constants = spark.createDataFrame([k for k in known if k], CONSTANTS_SCHEMA)
     rows = max((sum(moments[c, f].n for f in flags) for c in columns), default=0)
     ordered = ordered_counts(df, columns, flags, rows, rows_per_bucket)
@@ -94,7 +97,7 @@ def shapiro_from_moments(
         "*",
         (F.col("to_hi") - F.col("to_lo")).alias("weight"),
         (F.col("value") - F.col("mean")).alias("x"),
-        (shift_log(F.col("value"), F.col("low"), eps) - F.col("center")).alias("log"),
+        (shift_log(F.col("value"), F.col("low"), F.col("eps")) - F.col("center")).alias("log"),
     )
 
     def at_rank(rank: Column) -> Column:
@@ -102,7 +105,7 @@ def shapiro_from_moments(
 
     k = F.col("k")
     carried = ["n", "low", "high", "ss", "center", "inv_root", "m_last", "m_next", "a_last", "a_next"]
-    sums = scored.groupBy("item", "pop").agg(
+    sums = scored.groupBy("item", "pop", "eps").agg(
         F.sum(F.col("weight") * F.col("x")).alias("mx"),
         F.sum(F.col("weight") * F.col("log")).alias("ml"),
         F.sum(k * F.col("log")).alias("l1"),
@@ -111,7 +114,7 @@ def shapiro_from_moments(
         at_rank(n - 1).alias("before"),
         *[F.first(c).alias(c) for c in carried],
     )
-    log = {v: shift_log(F.col(v), F.col("low"), eps) for v in ("low", "second", "before", "high")}
+    log = {v: shift_log(F.col(v), F.col("low"), F.col("eps")) for v in ("low", "second", "before", "high")}
     raw_top = _weighted(F.col("mx"), F.col("low"), F.col("second"), F.col("before"), F.col("high"))
     log_top = _weighted(F.col("ml"), log["low"], log["second"], log["before"], log["high"])
     log_ss = F.col("l2") - F.col("l1") * F.col("l1") / n
@@ -124,6 +127,7 @@ def shapiro_from_moments(
         F.least(F.lit(1.0), F.try_divide(log_top * log_top, log_ss)).alias("w_log"),
         (F.col("center") + F.col("l1") / n).alias("log_mean"),
         F.sqrt(log_ss / (n - 1)).alias("log_sd"),
+        "eps",
     )
 
 

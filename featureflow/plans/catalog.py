@@ -28,7 +28,7 @@ from ..operators.profile import Profile, profile_stacked
 from ..operators.ranks import read_numbered, with_row_num
 from ..operators.shapiro import shapiro_wilk
 from ..operators.split import bernoulli_sample, keyed_split, named_split
-from ..operators.summaries import class_rate, density, histogram
+from ..operators.summaries import class_rate, density, histogram, kernel_density, smooth_rate
 from ..sources.champion import read_champion, write_champion
 from ..sources.storage import scratch_path
 from ..sources.tables import publish, read_csv, read_role, write_csv, write_predictions
@@ -36,6 +36,7 @@ from .workflow import run
 
 SEED = 1
 SEEDS = (1, 2, 3, 4, 5)
+LOG_SHIFTS = (0.01, 0.5, 1.0, 20.0)
 LINE_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -136,6 +137,46 @@ def category_passthrough(spark, folder):
     )
 
 
+def _branches(spark, folder) -> DataFrame:
+    """Columns that between them reach every decision of the profile, with a train and a test that disagree."""
+    number, price = F.col("l_linenumber").cast("double"), F.col("l_extendedprice")
+    steep = F.pow(F.lit(2.0), number) + 0.25
+    return _lines(spark, folder).select(
+        "name",
+        F.greatest(F.col("l_quantity") - 46, F.lit(0.0)).alias("over"),
+        F.floor(F.pow(price / 10_000, F.lit(2.0)) / 4).cast("double").alias("step"),
+        F.col("l_quantity").alias("quantity"),
+        (number + 0.25).alias("place"),
+        steep.alias("doubled"),
+        price.alias("price"),
+        F.when(F.col("name") == "train", number + 0.25).otherwise(steep).alias("mixed"),
+    )
+
+
+def derive_branches(spark, folder):
+    """Every branch of the dispatcher: the decision for each column and what its derived values add up to."""
+    config, rows = Config(log_eps=1.0, category_trunc_threshold=0.35), _branches(spark, folder)
+    found = profile_stacked(rows, rows.columns[1:], config)
+    derived = derive(rows, found, F.col("name"), ["name"], config)
+    names = [(p.column_name, n) for p in found.columns for n in p.outputs()]
+    stats = {"n": F.count, "mean": F.avg, "low": F.min, "high": F.max}
+    wide = derived.groupBy("name").agg(*[f(n).alias(f"{n}__{k}") for _, n in names for k, f in stats.items()])
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), F.lit(n).alias("derived_name"), *[F.col(f"{n}__{k}").alias(k) for k in stats]) for c, n in names
+    ]
+    melted = wide.select("name", F.inline(F.array(*cells)))
+    kinds = F.broadcast(found.to_frame(spark).select("column_name", "kind", "choice_train", "choice_test", "choice"))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "low", "high")]
+    return melted.join(kinds, "column_name").select("column_name", "kind", "choice_train", "choice_test", "choice", "derived_name", "name", "n", *rounded)
+
+
+def log_shift(spark, folder):
+    """The shift of the log with the largest W, from a grid judged in one ordered pass, and what it decides."""
+    rows = _lines(spark, folder).select("name", (F.pow(F.lit(2.0), F.col("l_linenumber").cast("double")) + 0.25).alias("doubled"), "l_extendedprice")
+    found = profile_stacked(rows, ["doubled", "l_extendedprice"], Config(log_shifts=LOG_SHIFTS))
+    return found.to_frame(spark).select("column_name", "log_eps", F.round("w_raw", 5).alias("w_raw"), F.round("w_log", 5).alias("w_log"), "choice")
+
+
 def category_mismatch(spark, folder):
     """Categories only the test part has."""
     return test_only_values(category_ratios(_events(spark, folder), ["bucket"], _flags()))
@@ -257,6 +298,19 @@ def class_rate_table(spark, folder):
     return found.withColumn("bin_low", F.round("bin_low", 6)).withColumn("rate", F.round("rate", 8))
 
 
+def kernel_density_table(spark, folder):
+    """Density curves of a continuous column on a fixed grid."""
+    found = kernel_density(_events(spark, folder), "value")
+    return found.withColumn("x", F.round("x", 6)).withColumn("density", F.round("density", 8))
+
+
+def smooth_rate_table(spark, folder):
+    """Local quadratic smoother of a label along a price."""
+    lines = table(spark, folder, "lineitem").withColumn("large", (F.col("l_quantity") * F.col("l_discount") > 1).cast("double"))
+    found = smooth_rate(lines, "l_extendedprice", "large")
+    return found.withColumn("x", F.round("x", 8)).withColumn("rate", F.round("rate", 6))
+
+
 # Row identity, joins and splits
 
 
@@ -271,6 +325,12 @@ def row_number_files(spark, folder):
     return read_numbered(spark, f"{folder.rstrip('/')}/orders.parquet").select("o_orderkey", "row_num")
 
 
+def row_number_text(spark, folder):
+    """Dense numbers in the order of a string key."""
+    orders = table(spark, folder, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("name"))
+    return with_row_num(orders, "name", rows_per_bucket=4_096).select("o_orderkey", "name", "row_num")
+
+
 def row_number_csv(spark, folder):
     """Dense numbers in file order over a folder of CSV files."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
@@ -620,6 +680,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "derived_view": derived_view,
     "histogram": histogram_table,
     "density": density_table,
+    "kernel_density": kernel_density_table,
+    "smooth_rate": smooth_rate_table,
+    "derive_branches": derive_branches,
+    "log_shift": log_shift,
+    "row_number_text": row_number_text,
     "class_rate": class_rate_table,
     "row_number_dense": row_number_dense,
     "row_number_files": row_number_files,

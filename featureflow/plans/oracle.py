@@ -221,7 +221,106 @@ def _validated() -> str:
     )
 
 
+def _log_shifts() -> str:
+    """The best of five shifts by W in train, the first of several; every shift has its own ranks here."""
+    cells = three("doubled", "pow(2.0, l_linenumber) + 0.25", "name", "l") + " UNION ALL " + three("l_extendedprice", "l_extendedprice", "name", "l")
+    tried = " UNION ALL ".join(
+        f"(WITH {LINES}, {shapes(cells, eps)} SELECT {k} AS k, {eps!r}::DOUBLE AS log_eps, w.column_name, w_raw, w_log, choice "
+        "FROM w JOIN chosen ON chosen.column_name = w.column_name WHERE pop = 'train')"
+        for k, eps in enumerate((LOG_EPS, 0.01, 0.5, 1.0, 20.0))
+    )
+    return f"""SELECT column_name, log_eps, round(w_raw, 5) AS w_raw, round(w_log, 5) AS w_log, choice FROM ({tried})
+        QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY w_log DESC, k) = 1"""
+
+
+def _derived_branches() -> str:
+    """Kinds and values of every column decided here from the rows, with a log shift of 1 and rare values up to a ratio of 0.35."""
+    columns = {
+        "over": "greatest(l_quantity - 46, 0)", "step": "floor(pow(l_extendedprice / 10000, 2) / 4)", "quantity": "l_quantity",
+        "place": "l_linenumber + 0.25", "doubled": "pow(2.0, l_linenumber) + 0.25", "price": "l_extendedprice",
+        "mixed": "CASE WHEN name = 'train' THEN l_linenumber + 0.25 ELSE pow(2.0, l_linenumber) + 0.25 END",
+    }
+    long = " UNION ALL ".join(f"SELECT '{c}' AS column_name, name, ({v})::DOUBLE AS v FROM l" for c, v in columns.items())
+    cells = """SELECT column_name, name AS pop, v FROM long JOIN tested USING (column_name) WHERE NOT is_category
+        UNION ALL SELECT column_name, 'combined', v FROM long JOIN tested USING (column_name) WHERE NOT is_category"""
+    return f"""WITH {LINES}, long AS MATERIALIZED ({long}),
+    tested AS (SELECT column_name, NOT bool_or(v <> round(v, 1)) AS is_category FROM long WHERE name = 'train' GROUP BY column_name),
+    {shapes(cells, 1.0)},
+    lowest AS (SELECT column_name, name, min(v) AS low FROM long GROUP BY column_name, name),
+    moved AS (
+        SELECT column_name, name, choice_train, choice_test, choice, CASE WHEN choice = 'normal' THEN v ELSE ln(v - low + 1.0::DOUBLE) END AS x
+        FROM long JOIN chosen USING (column_name) JOIN lowest USING (column_name, name)
+    ),
+    spread AS (SELECT column_name, name, avg(x) AS mu, stddev_samp(x) AS sd, min(x) AS low, max(x) AS high FROM moved GROUP BY column_name, name),
+    counted AS (SELECT column_name, v, count(*) AS n FROM long JOIN tested USING (column_name) WHERE is_category AND name = 'train' GROUP BY column_name, v),
+    rated AS (SELECT *, round(n::DOUBLE / max(n) OVER (PARTITION BY column_name), 4) <= 0.35 AS is_rare FROM counted),
+    balanced AS (
+        SELECT column_name, count(*) FILTER (v <= 0)::DOUBLE / nullif(count(*) FILTER (v <> 0), 0) AS ratio FROM long WHERE name = 'train' GROUP BY column_name
+    ),
+    categories AS (
+        SELECT column_name, CASE WHEN any_value(ratio) > 10 THEN 'binarized' WHEN bool_or(is_rare) THEN 'trunc_cat' ELSE 'cat' END AS kind,
+            avg(rated.v) FILTER (is_rare) AS replacement
+        FROM rated JOIN balanced USING (column_name) GROUP BY column_name
+    ),
+    curves AS (
+        SELECT column_name, CASE WHEN greatest(high - mu, mu - low) / sd > {Z_CUT} THEN 'state' WHEN choice = 'normal' THEN 'N' ELSE 'LN' END AS kind,
+            choice_train, choice_test, choice
+        FROM spread JOIN chosen USING (column_name) WHERE name = 'train'
+    ),
+    stated AS (
+        SELECT m.column_name, m.name, x, CASE WHEN abs((x - mu) / sd) >= {Z_CUT} THEN sign((x - mu) / sd)::DOUBLE ELSE 0.0::DOUBLE END AS state
+        FROM moved m JOIN spread s ON s.column_name = m.column_name AND s.name = m.name
+    ),
+    derived AS (
+        SELECT column_name, kind, NULL::VARCHAR AS choice_train, NULL::VARCHAR AS choice_test, NULL::VARCHAR AS choice, kind AS suffix, name,
+            CASE WHEN kind = 'binarized' THEN CASE WHEN long.v > 0 THEN 1.0::DOUBLE ELSE long.v END WHEN is_rare THEN replacement ELSE long.v END AS value
+        FROM long JOIN categories USING (column_name) LEFT JOIN rated USING (column_name, v)
+        UNION ALL
+        SELECT column_name, kind, choice_train, choice_test, choice, CASE WHEN kind = 'state' THEN 'state' ELSE kind END, name,
+            CASE WHEN kind = 'state' THEN state ELSE x END
+        FROM stated JOIN curves USING (column_name)
+        UNION ALL
+        SELECT column_name, kind, choice_train, choice_test, choice, 'st_inter', name, CASE WHEN state = 0 THEN x ELSE 0.0::DOUBLE END
+        FROM stated JOIN curves USING (column_name) WHERE kind = 'state'
+    )
+    SELECT column_name, kind, choice_train, choice_test, choice, column_name || '_' || suffix AS derived_name, name, count(value) AS n,
+        round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high
+    FROM derived GROUP BY ALL"""
+
+
+_KERNEL_DENSITY = f"""WITH {EVENTS}, a AS (SELECT name, value FROM e UNION ALL SELECT 'combined', value FROM e),
+        s AS (SELECT name, count(*) AS n, 1.06::DOUBLE * stddev_samp(value) * pow(count(*)::DOUBLE, -0.2) AS width, min(value) AS low, max(value) AS high FROM a GROUP BY name),
+        g AS (SELECT name, n, width, low - 3 * width AS start, (high + 3 * width - (low - 3 * width)) / 127 AS step FROM s),
+        p AS (SELECT name, (value - start) / step AS place, least(floor((value - start) / step), 126)::INT AS cell FROM a JOIN g USING (name)),
+        c AS (SELECT name, cell, sum(weight) AS weight FROM (
+            SELECT name, cell, 1 - (place - cell) AS weight FROM p UNION ALL SELECT name, cell + 1, place - cell FROM p) GROUP BY name, cell),
+        t AS (SELECT name, point, sum(weight * exp(-0.5 * pow((point - cell) * step / width, 2))) AS total
+            FROM c JOIN g USING (name) CROSS JOIN (SELECT unnest(range(128))::INT AS point) GROUP BY name, point)
+        SELECT name, point, round(start + point * step, 6) AS x, round(total / (n * width * sqrt(2 * pi())), 8) AS density FROM t JOIN g USING (name)"""
+
+_SMOOTH_RATE = """WITH r AS (SELECT min(l_extendedprice) AS low, max(l_extendedprice) - min(l_extendedprice) AS reach FROM lineitem),
+        u AS (SELECT (l_extendedprice - low) / reach AS u, CASE WHEN l_quantity * l_discount > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem, r),
+        c AS (SELECT least(floor(u * 64), 63)::INT AS cell, sum(1.0::DOUBLE) AS s0, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4,
+            sum(y) AS t0, sum(y * u) AS t1, sum(y * u ** 2) AS t2 FROM u GROUP BY 1),
+        d AS (SELECT *, (point + 0.5) / 32 AS g, abs((cell + 0.5) / 64 - (point + 0.5) / 32) / 0.5 AS away
+            FROM c CROSS JOIN (SELECT unnest(range(32))::INT AS point)),
+        w AS (SELECT *, pow(1 - pow(away, 3), 3)::DOUBLE AS w FROM d WHERE away < 1),
+        m AS (SELECT point, max(g)::DOUBLE AS g, sum(w * s0) AS s0, sum(w * s1) AS s1, sum(w * s2) AS s2, sum(w * s3) AS s3, sum(w * s4) AS s4,
+            sum(w * t0) AS t0, sum(w * t1) AS t1, sum(w * t2) AS t2 FROM w GROUP BY point),
+        k AS (SELECT point, g, s0 AS m0, s1 - g * s0 AS m1, s2 - 2 * g * s1 + g * g * s0 AS m2, s3 - 3 * g * s2 + 3 * g * g * s1 - g * g * g * s0 AS m3,
+            s4 - 4 * g * s3 + 6 * g * g * s2 - 4 * g * g * g * s1 + g * g * g * g * s0 AS m4,
+            t0 AS v0, t1 - g * t0 AS v1, t2 - 2 * g * t1 + g * g * t0 AS v2 FROM m)
+        SELECT point, round(low + g * reach, 8) AS x, round(
+            (v0 * (m2 * m4 - m3 * m3) - m1 * (v1 * m4 - m3 * v2) + m2 * (v1 * m3 - m2 * v2))
+            / (m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m3 * m2) + m2 * (m1 * m3 - m2 * m2)), 6) AS rate FROM k, r"""
+
 ORACLE: dict[str, str] = {
+    "kernel_density": _KERNEL_DENSITY,
+    "smooth_rate": _SMOOTH_RATE,
+    "derive_branches": _derived_branches(),
+    "log_shift": _log_shifts(),
+    "row_number_text": """SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS name, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR)) - 1 AS row_num
+        FROM orders""",
     "lr_cv": _validated(),
     "svm": _validated(),
     "gbt": _validated(),
