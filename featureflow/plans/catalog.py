@@ -32,6 +32,7 @@ from ..operators.summaries import class_rate, density, histogram, kernel_density
 from ..sources.champion import read_champion, write_champion
 from ..sources.storage import scratch_path
 from ..sources.tables import publish, read_csv, read_role, write_csv, write_predictions
+from .scorer import Scorer
 from .workflow import run
 
 SEED = 1
@@ -606,6 +607,22 @@ def score_unlabelled(spark, folder):
     return spark.read.parquet(path).select("model_name", "id", F.col("prediction").isin(0.0, 1.0).alias("valid"))
 
 
+def score_later(spark, folder):
+    """A run's stored artefact, read again, scores a later table: its ids, slots (none for an unseen hour) and predictions."""
+    noisy = F.col("value") + F.pmod(F.col("event_id") * 7919, F.lit(40)) > 35
+    events = table(spark, folder, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"), noisy.cast("double").alias("label"))
+    named = named_split(events, "event_id", SEED)
+    train, test = named.filter("name = 'train'").drop("name"), named.filter("name = 'test'").drop("name", "label")
+    config = _fit_config(model="lr", cat_transform=True, num_splits=2, nfolds=3)
+    stored = scratch_path(spark, "artefact")
+    run(train, test, "event_id", "label", ["value", "hour"], scratch_path(spark, "champion"), config=config, artefact_path=stored)
+    later = test.withColumn("hour", F.when(F.col("event_id") % 10 == 0, 99.0).otherwise(F.col("hour"))).withColumn("event_id", F.col("event_id") + 1_000_000)
+    found = Scorer.read(spark, stored).score(later).withColumn("cells", vector_to_array("features"))
+    slots = F.slice("cells", 3, F.size("cells") - 2)
+    slot = F.coalesce(F.array_position(slots, F.lit(1.0)), F.lit(0)) - 1
+    return found.select("id", F.size("cells").cast("bigint").alias("width"), slot.cast("bigint").alias("slot"), F.col("prediction").isin(0.0, 1.0).alias("valid"))
+
+
 def workflow_run(spark, folder):
     """The whole run on events: profile, derive, encode, scale, validate, gate, refit, score."""
     noisy = F.col("value") + F.pmod(F.col("event_id") * 7919, F.lit(40)) > 35
@@ -708,6 +725,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt": gbt,
     "score_unlabelled": score_unlabelled,
     "workflow_run": workflow_run,
+    "score_later": score_later,
     "category_index_keep": category_index_keep,
     "assemble_encoded": assemble_encoded,
     "assemble_encoded_train": assemble_encoded_train,

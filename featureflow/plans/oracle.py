@@ -321,6 +321,11 @@ ORACLE: dict[str, str] = {
     "log_shift": _log_shifts(),
     "row_number_text": """SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS name, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR)) - 1 AS row_num
         FROM orders""",
+    "score_later": f"""WITH e AS (SELECT event_id, hour(ts)::DOUBLE AS hour, {_role('event_id')} AS name FROM events),
+        i AS (SELECT hour::VARCHAR AS value, row_number() OVER (ORDER BY count(*) DESC, hour::VARCHAR) - 1 AS position FROM e WHERE name = 'train' GROUP BY hour),
+        k AS (SELECT count(*) AS k FROM i)
+        SELECT event_id + 1000000 AS id, k + 1 AS width, CASE WHEN event_id % 10 <> 0 AND position < k - 1 THEN position ELSE -1 END AS slot, TRUE AS valid
+        FROM e CROSS JOIN k LEFT JOIN i ON i.value = hour::VARCHAR WHERE name = 'test'""",
     "lr_cv": _validated(),
     "svm": _validated(),
     "gbt": _validated(),
