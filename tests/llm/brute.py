@@ -132,7 +132,7 @@ def normal(line):
 
 
 def line_blocks(words):
-    """The keys of a line: (blocks, fingerprint, block, SimHash of the block's words)."""
+    """The keys of a line: (blocks, block, SimHash of the block's words)."""
     import regex
 
     letter = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*"
@@ -142,16 +142,16 @@ def line_blocks(words):
         return set()
     told, keys = sorted(set(words)), set()
     size = lambda found: sum(len(w.encode()) + 1 for w in found)
-    for n in (len(told), (5 * len(told) + 3) // 4):
-        bits = max(1, ((n - 1) // 8).bit_length())
-        for turn, place in enumerate((20, 42)):
-            shares = {}
-            for w in told:
-                shares.setdefault(spark_hash(w) >> place & ((1 << bits) - 1), []).append(w)
-            for k, found in shares.items():
-                if size(found) >= 30 or 2 * size(found) >= size(told):
-                    hashes = [spark_hash(w) for w in found]
-                    keys.add((bits, turn, k, sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
+    for n in (len(told), (11 * len(told) + 9) // 10):
+        bits, shares = max(1, ((n - 1) // 6).bit_length()), {}
+        for w in told:
+            shares.setdefault(spark_hash(w) >> 20 & ((1 << bits) - 1), []).append(w)
+        for k, found in shares.items():
+            weight = size(found) + sum(4 for w in found if len(w.encode()) >= 3 * len(w))
+            if weight >= min(26, (size(told) + 1) // 2):
+                hashes = [spark_hash(w) & ((1 << 56) - 1) for w in found]
+                print_ = sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in hashes) > len(found))
+                keys.add((bits, k, print_))
     return keys
 
 
