@@ -1,5 +1,9 @@
 """Every query with an SQL counterpart gives the same rows on another engine."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from checks import difference, duck
 
@@ -14,11 +18,7 @@ def con():
     return duck(FOLDER)
 
 
-# 700 fits: ten folds of fourteen strengths on five hold-outs. tests/test_models.py has the same path with fewer.
-LONG = {"lr_cv"}
-
-
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - LONG))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, FOLDER), con, ORACLE[name]) is None
 
@@ -39,3 +39,10 @@ def test_score_unlabelled_covers_every_unlabelled_document(spark, con):
     want = con.execute("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)").fetchall()
     assert sorted(r.id for r in got) == sorted(w[0] for w in want)
     assert all(r.valid for r in got)
+
+
+@pytest.mark.parametrize("package", ["public_tokenizers", "xxhash", "regex", "featureflow.llm", "corpus_pipeline"])
+def test_entry_without_a_package_of_the_optional_part(package):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.modules[{package!r}] = None; sys.path.insert(0, {root!r}); import __spark_entry__ as e; assert 'lr_cv' in e.queries()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
