@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -58,17 +60,40 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _cues_of(word: str) -> frozenset[str]:
+    """The cues a word is, or begins or ends with (of five letters or more): commentlist, usercomments."""
+    if word in CUES:
+        return frozenset([word])
+    return frozenset(c for c in CUES if len(c) >= 5 and (word.startswith(c) or word.endswith(c)))
+
+
+class Path(NamedTuple):
+    """The ancestors of a block; equal paths of a page are one object, so depth costs nothing."""
+
+    tag: str
+    above: str  # the tag above it
+    tags: frozenset[str]
+    number: int
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # ancestors, outermost first
+    path: Path
     cues: frozenset[str]  # words of the ancestors' class, id and role
     linked: int  # characters inside links
 
 
+NOWHERE = Path("-", "", frozenset(), 0)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Texts between block-level tags in page order: references decoded, white space folded, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], Path]] = []  # with all cues and the path down to each tag
+    places: dict[str, list[int]] = defaultdict(list)  # where each open tag stands in the stack
+    walls: list[int] = []  # where tags stand that no tag inside a line closes
+    known: dict[tuple[int, str], Path] = {}
     parts: list[str] = []
     linked, links, hidden = 0, 0, 0
 
@@ -76,24 +101,37 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            path = tuple(t for t, _ in stack if t not in INLINE)
-            out.append(Block(text, path, frozenset().union(*(c for _, c in stack)), linked))
+            out.append(Block(text, stack[-1][2] if stack else NOWHERE, stack[-1][1] if stack else frozenset(), linked))
         parts.clear()
         linked = 0
 
     def close(at: int) -> None:
         nonlocal hidden, links
-        for tag, _ in stack[at:]:
+        for tag, _, _ in reversed(stack[at:]):
             hidden -= tag in HIDDEN
             links -= tag == "a"
+            places[tag].pop()
+            if tag not in INLINE:
+                walls.pop()
         del stack[at:]
 
+    def put(tag: str, told: frozenset[str]) -> None:
+        nonlocal hidden, links
+        _, cues, path = stack[-1] if stack else ("", frozenset(), NOWHERE)
+        if tag not in INLINE:
+            key = path.number, tag
+            if key not in known:
+                known[key] = Path(tag, path.tag if path.number else "", path.tags if tag in path.tags else path.tags | {tag}, len(known) + 1)
+            path = known[key]
+            walls.append(len(stack))
+        places[tag].append(len(stack))
+        stack.append((tag, cues if told <= cues else cues | told, path))
+        hidden += tag in HIDDEN
+        links += tag == "a"
+
     def end_head() -> None:
-        for place in range(len(stack) - 1, -1, -1):
-            if stack[place][0] == "head":
-                return close(place)
-            if stack[place][0] == "template":
-                return
+        if places["head"] and (not places["template"] or places["template"][-1] < places["head"][-1]):
+            close(places["head"][-1])
 
     page, at = page or "", 0
     while match := _TOKEN.match(page, at):
@@ -115,12 +153,8 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         if match[1]:
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] == tag:
-                    close(place)
-                    break
-                if stack[place][0] not in INLINE and tag in INLINE:
-                    break
+            if places[tag] and (tag not in INLINE or not walls or places[tag][-1] > walls[-1]):
+                close(places[tag][-1])
             continue
         if tag in VOID or tag == "svg" and match[3].endswith("/"):
             if hidden and tag not in IN_HEAD:
@@ -131,17 +165,15 @@ def blocks(page: str | None) -> list[Block]:
         names, ends = CLOSES.get(tag, ((), ()))
         if tag in NOT_IN_P:
             names, ends = (*names, "p"), (*ends, "div", "article", "section", "td", "li", "body", "main", "aside", "form", "blockquote")
-        for place in range(len(stack) - 1, -1, -1):
-            if stack[place][0] in names:
-                close(place)
-            elif stack[place][0] in ends:
-                break
+        if any(places[n] for n in names):
+            wall = max((places[e][-1] for e in ends if places[e]), default=-1)
+            inside = [places[n][k] for n in names if (k := bisect_right(places[n], wall)) < len(places[n])]
+            if inside:
+                close(min(inside))
         told = frozenset(
-            w for m in _NAMED.finditer(match[3]) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower()) if w in CUES
+            c for m in _NAMED.finditer(match[3]) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower()) for c in _cues_of(w)
         ) if match[3] else frozenset()
-        stack.append((tag, told))
-        hidden += tag in HIDDEN
-        links += tag == "a"
+        put(tag, told)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -156,9 +188,8 @@ def features(found: list[Block]) -> list[list[str]]:
         text = block.text
         words = text.split()
         path = block.path
-        own = path[-1] if path else "-"
-        row = ["bias", f"tag:{own}", f"up:{'>'.join(path[-2:])}"]
-        row += [f"in:{t}" for t in set(path)]
+        row = ["bias", f"tag:{path.tag}", f"up:{path.above}>{path.tag}" if path.above else f"up:{path.tag}"]
+        row += [f"in:{t}" for t in path.tags]
         row += [f"cue:{c}" for c in block.cues]
         row.append(f"words:{min(6, len(words).bit_length())}")
         share = block.linked / len(text)
@@ -172,7 +203,7 @@ def features(found: list[Block]) -> list[list[str]]:
         row.append(f"place:{min(4, 5 * place // len(found))}")
         if place:
             before = found[place - 1]
-            row.append(f"same:{before.path == path}:{before.cues == block.cues}")
+            row.append(f"same:{before.path is path}:{before.cues == block.cues}")
         rows.append(row)
     return rows
 
@@ -301,6 +332,10 @@ def labelled_page(r: random.Random) -> tuple[str, list[str]]:
         "ad": lambda: f'<div class="{pick(["ad", "advert", "ads banner", "sponsored", "promo"])}">{pick([_paragraph(r), _sentence(r, 2, 8), f"<p>{_paragraph(r)}</p>"])}</div>',
         "notice": lambda: f'<div class="{pick(["cookie-notice", "consent", "alert notice", "cookie banner"])}"><p>{_paragraph(r)}</p><button>{_sentence(r, 1, 2)}</button></div>',
         "form": lambda: f'<form action="/s"><label>{_sentence(r, 1, 4)}</label><input name="q"><p>{_sentence(r, 2, 9)}.</p><button>{_sentence(r, 1, 2)}</button></form>',
+        "commentlist": lambda: f'<{(t := pick(["ol", "ul"]))} class="{pick(["commentlist", "comment-list", "usercomments"])}">'
+        + "".join(f"<li><p>{_paragraph(r)}</p></li>" for _ in range(r.randint(1, 4))) + f"</{t}>",
+        "respond": lambda: f'<div class="{pick(["comment-respond", "respond", "reply-form"])}"><h3>{_sentence(r, 1, 4)}</h3><p>{_sentence(r, 2, 9)}.</p></div>',
+        "remarks": lambda: f'<div class="{pick(["comments", "comment-section", "reader-comments"])}">' + "".join(f"<p>{_paragraph(r)}</p>" for _ in range(r.randint(1, 4))) + "</div>",
         "comments": lambda: f'<{(t := pick(["section", "div"]))} class="comments"><h3>{_sentence(r, 1, 3)}</h3>'
         + "".join(f'<div class="comment"><p>{_paragraph(r)}</p></div>' for _ in range(r.randint(1, 4))) + f"</{t}>",
         "related": lambda: f'<div class="related"><h4>{_sentence(r, 1, 3)}</h4>{link(6)}{link(6)}</div>',
@@ -312,7 +347,14 @@ def labelled_page(r: random.Random) -> tuple[str, list[str]]:
         main.append(text)
         body.append(f"<{tag}>{text}" + pick(["", f"</{tag}>"]) if tag in ("p", "li") else f"<{tag}>{text}</{tag}>")
 
-    if r.random() < 0.85:
+    if r.random() < 0.3:  # the article's own header, with its headline and byline
+        body.append("<header>" if r.random() < 0.6 else f'<{pick(["header", "div"])} class="{pick(["entry-header", "post-header", "article-header"])}">')
+        opened = "div" if body[-1].startswith("<div") else "header"
+        block(pick(["h1", "h1", "h2"]), _sentence(r, 2, 9) + pick(["", "."]))
+        if r.random() < 0.6:
+            block("p", _sentence(r, 2, 6) + pick(["", "."]))
+        body.append(f"</{opened}>")
+    elif r.random() < 0.85:
         block(pick(["h1", "h1", "h2"]), _sentence(r, 2, 9) + pick(["", "."]))
     for _ in range(r.randint(1, 12)):
         choice = r.random()
@@ -331,11 +373,13 @@ def labelled_page(r: random.Random) -> tuple[str, list[str]]:
             main.append((a := _paragraph(r)) + " " + (b := _sentence(r, 2, 9)))
             body.append(f"<p><b>{a}<br>{b}")
         else:
-            body.append(kind[pick(["ad", "aside", "related", "script", "form", "notice"])]())
+            body.append(kind[pick(["ad", "aside", "related", "script", "form", "notice", "remarks", "commentlist"])]())
+    if r.random() < 0.25:  # comments that stand inside the article
+        body += [kind[k]() for k in ("remarks", "commentlist", "comments", "respond") if r.random() < 0.4]
     wrap = pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>',
                  '<div id="main"><div class="article post">{}</div></div>', '<div class="story-body">{}</div>', "<div>{}</div>", '<section class="entry">{}</section>'])
     before = [kind[k]() for k in ("notice", "header", "nav", "script", "ad", "form", "aside") if r.random() < 0.4]
-    after = [kind[k]() for k in ("related", "comments", "aside", "ad", "form", "footer", "script") if r.random() < 0.4]
+    after = [kind[k]() for k in ("related", "comments", "commentlist", "respond", "aside", "ad", "form", "footer", "script") if r.random() < 0.4]
     page = f"<html><head><title>{_sentence(r, 2, 8)}</title></head><body>{''.join(before)}{wrap.format(''.join(body))}{''.join(after)}</body></html>"
     return page, main
 

@@ -32,6 +32,21 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), brute.FOLDER).count() == 0
 
 
+def test_stages_on_odd_rows(spark):
+    text = "the plain words of this short text are told here once for all to read and to keep as they stand in the book of the day"
+    rows = [(1, None), (2, ""), (3, text), (3, text), (None, text + " and more"), (None, None), (4, " \t\n"), (5, text.replace("plain", "simple"))]
+    schema = "doc_id long, text string, line long, key string, version string, f long, at int"
+    docs = spark.createDataFrame([(*r, 1, "k", "v", 2, 3) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, brute.FOLDER)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), brute.FOLDER).count() == 0
+        texts = [r.text for r in out.collect()]
+        assert len(texts) == {"quality rules": 4, "line dedup": 8, "near dedup": 5, "secret scan": 8}[name], name
+        assert texts.count(None) == (0 if name == "quality rules" else 2), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, brute.FOLDER)
+    assert packed.count() >= 8 and packed.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
+
+
 def test_entry_without_the_subpackage(tmp_path):
     code = (
         "import sys; sys.modules['corpus_pipeline'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; "
