@@ -49,15 +49,14 @@ class _Packer:
         self.rows: list[tuple] = []
 
     def place(self, doc_id: object, start: int, ids: bytes, total: int) -> None:
+        for at in range(0, len(ids) - 4 * self.length + 1, 4 * self.length):  # whole sequences, without a copy of the rest
+            full = _Window()
+            full.add((doc_id, start, ids[at : at + 4 * self.length], total))
+            self.emit(full, True)
+            start += self.length
+        ids = ids[len(ids) // (4 * self.length) * 4 * self.length :]
         while ids:
             size = len(ids) // 4
-            if size >= self.length:
-                whole, ids = ids[: 4 * self.length], ids[4 * self.length :]
-                full = _Window()
-                full.add((doc_id, start, whole, total))
-                self.emit(full, True)
-                start += self.length
-                continue
             best = min((w for w in self.open if w.used + size <= self.length), key=_free, default=None)
             if best is None and len(self.open) < self.windows:
                 best = _Window()
