@@ -91,3 +91,27 @@ def test_choice_of_strength_and_model_files(spark, rows, tmp_path):
 def test_plan_has_no_digest_after_the_table_is_held(rows):
     plan = rows.filter(sampled(F.col("member"), 1))._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan.split("InMemoryRelation")[0]
+
+
+def test_models_of_samples_and_folds_start_at_the_common_optimum(rows, monkeypatch):
+    """A pass of every model is what grows with rows and models: few are left, and the results are those of a cold start."""
+    passes, plain = [], logistic._stepper
+    monkeypatch.setattr(logistic, "_stepper", lambda *a: passes.append(len(a[-1])) or plain(*a))
+    slim = logistic.slim(rows)
+    final, means = logistic.cross_validated(slim, 4, [0, 1], 2, 3, STRENGTHS)
+    assert sum(n for n in passes if n > len(STRENGTHS)) <= 4 * 18
+    for k, split in enumerate((0, 1)):
+        best = STRENGTHS[int(np.argmax(means[k]))]
+        cold = logistic.fit_many(slim, 4, [logistic.Trained(split, None)], [(0, best)], 2)
+        assert np.allclose(final.coefficients[k], cold.coefficients[0], rtol=1e-7, atol=1e-9)
+        assert abs(final.intercepts[k] - cold.intercepts[0]) < 1e-7 * max(1, abs(cold.intercepts[0]))
+
+
+def test_areas_shuffle_arrays_and_not_rows(spark):
+    frame = spark.range(4000).select((F.col("id") % 2).cast("double").alias("y"), F.col("id").cast("double").alias("s"), F.lit(None).cast("string").alias("k"))
+    frame = frame.repartition(2).cache()
+    out = areas_under_roc(frame, ["s", "s"], "y", "k", 500)
+    assert {(r.item, r.k, r.positives, r.negatives) for r in out.collect()} == {(0, None, 2000, 2000), (1, None, 2000, 2000)}
+    assert all(abs(r.auc - (2000 * 2001 / 2) / 2000**2) < 1e-12 for r in out.collect())
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in text and "value" not in text
