@@ -155,16 +155,37 @@ def line_blocks(words):
     return keys
 
 
+def line_runs(words):
+    """The keys of a line by runs: the six smallest hashes (signed) of runs of whole words of 26 characters, or of 14 in short lines."""
+    import regex
+
+    letter = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*"
+    if any(c >= "\u0e00" for w in words for c in w):
+        words = [w for x in words for w in regex.sub(f"({letter})", r" \1 ", x).split()]
+    text, keys = " ".join(words), set()
+    starts = [0, *(i + 1 for i, c in enumerate(text) if c == " ")]
+    for least, use in ((26, len(text) >= 52), (14, len(text) < 65)):
+        ends = [(i, text.find(" ", i + least)) for i in starts if len(text) - i >= least]
+        hashes = {spark_hash(text[i : e if e >= 0 else None]) for i, e in ends}
+        keys |= set(sorted(h - (h >> 63 << 64) for h in hashes)[:6]) if use and len(words) >= 5 else set()
+    return keys
+
+
 def dedup_lines(rows):
     """{doc_id: text} for (doc_id, text) rows with distinct ids."""
-    places, sets, blocks = [], Sets(), {}
+    places, sets, blocks, runs = [], Sets(), {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         for at, line in enumerate((text or "").split("\n")):
             if words := normal(line):
                 places.append((" ".join(words), i, at))
                 for key in line_blocks(words):
                     blocks.setdefault(key, set()).add(places[-1][0])
+                for key in line_runs(words):
+                    runs.setdefault(key, set()).add(places[-1][0])
     pairs = {(x, y) for found in blocks.values() for x in found for y in found if x < y}
+    for found in runs.values():  # the line with the smallest hash meets the others
+        first = min(found, key=lambda x: spark_hash(x) - (spark_hash(x) >> 63 << 64))
+        pairs |= {(min(first, y), max(first, y)) for y in found if y != first}
     for x, y in edits(pairs):
         sets.join(x, y)
     seen, gone = set(), set()

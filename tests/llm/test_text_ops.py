@@ -173,6 +173,15 @@ def test_line_blocks(spark):
     assert sorted(map(sorted, same.values())) == sorted(map(sorted, want.values()))
 
 
+def test_line_runs(spark):
+    r = random.Random(6)
+    lists = [["".join(r.choice("abcé") for _ in range(r.randint(1, 9))) for _ in range(n)] for n in (4, 5, 6, 7, 8, 9, 10, 11, 12, 40, 300) for _ in range(4)]
+    lists += [["a", "b", "c", "d", "e"], ["word"] * 9, ["x" * 90] * 5, [chr(0x4E00 + r.randrange(3000)) * 3 for _ in range(30)]]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)] * 3, "line long, norm string")
+    got = sorted((r.line, r.key) for r in line_dedup.runs(rows).collect())
+    assert got == sorted((i, k) for i, w in enumerate(lists) for k in brute.line_runs(w))
+
+
 def _fuzzy_documents():
     r = random.Random(8)
     words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
