@@ -130,7 +130,7 @@ def test_columns_ids_and_empty_tables(spark):
     got = found(conversation_repair.repair(frame, conv_id="conv", ids=ids))
     nothing = hashlib.sha256(b"").hexdigest()
     assert got["gone"] == (0, 0, 0, 0, 0, 0, "", nothing) and got[None] == (0, 1, 0, 0, 0, 3, "D", nothing)
-    assert got["a b"][5:7] == (2, "KI") and got[""][2:] == (1, 0, 3, "D", nothing)
+    assert got["a b"][5:7] == (2, "KI") and got[""][3:] == (1, 0, 3, "D", nothing)
     lines = conversation_repair.repaired(frame, conv_id="conv")
     assert lines.columns == ["conv", "place", "role", "text"]
     assert sorted(map(tuple, lines.collect())) == [("a b", 0, "user", "Hi."), ("a b", 1, "assistant", "")]

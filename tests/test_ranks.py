@@ -48,12 +48,14 @@ def test_row_num_is_dense_and_ordered(spark, per_bucket):
     assert [r["row_num"] for r in rows] == list(range(1000))
 
 
-def test_row_num_by_time_and_not_by_text(spark):
+def test_row_num_by_time_and_text_and_not_by_truth(spark):
     df = spark.range(20).select(F.timestamp_seconds(F.lit(100) - F.col("id")).alias("at"), F.col("id").cast("string").alias("s"))
     rows = with_row_num(df, "at", rows_per_bucket=4).orderBy("row_num").collect()
     assert [r["s"] for r in rows] == [str(i) for i in range(19, -1, -1)]
+    rows = with_row_num(df, "s", rows_per_bucket=4).orderBy("row_num").collect()
+    assert [r["s"] for r in rows] == sorted(map(str, range(20)))
     with pytest.raises(TypeError):
-        with_row_num(df, "s")
+        with_row_num(df.withColumn("yes", F.col("s") == "1"), "yes")
     assert with_row_num(df.filter("false"), "at").count() == 0
 
 
