@@ -191,18 +191,14 @@ class Bpe:
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
         """(index of the text, packed ids of its next words), in order, at most TOGETHER words at once."""
-        for group in _grouped((i, w) for i, t in enumerate(texts) for w in ([self._library(t)] if self._strange(t) else self._chunks(t))):
-            flat = self.packed([w for _, ws in group for w in ws if not isinstance(w, int)])
-            at = 0
+        chunks = ((i, w) for i, t in enumerate(texts) for w in ([_Ids(self._library(t))] if self._strange(t) else self._chunks(t)))
+        for group in _grouped(chunks):
+            flat = iter(self.packed([w for _, ws in group for w in (filter(_is_word, ws) if type(ws) is _Ids else ws)]))
             for i, ws in group:
-                parts = []
-                for w in ws:
-                    if isinstance(w, int):
-                        parts.append(w.to_bytes(4, "little"))
-                    else:
-                        parts.append(flat[at])
-                        at += 1
-                yield i, b"".join(parts)
+                if type(ws) is _Ids:
+                    yield i, b"".join(next(flat) if _is_word(w) else w.to_bytes(4, "little") for w in ws)
+                else:
+                    yield i, b"".join(itertools.islice(flat, len(ws)))
 
     def _strange(self, text: str) -> bool:
         """Whether a text has code points without a category, which pattern and library may class differently."""
@@ -227,13 +223,21 @@ class Bpe:
             yield self.pattern.findall(self.fold(text) if self.fold else text)
             return
         words = self.words(text)
-        while chunk := list(itertools.islice(words, TOGETHER)):
+        while chunk := _Ids(itertools.islice(words, TOGETHER)):
             yield chunk
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class _Ids(list):
+    """Words among which there may be ids; a plain list of words has none."""
+
+
+def _is_word(word: str | int) -> bool:
+    return not isinstance(word, int)
+
+
 def _whole(match) -> str:
     return match[0]
 

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import sys
 import zlib
 
 import brute
@@ -92,6 +93,19 @@ def test_letters_are_the_librarys():
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(start)
 
 
+def test_plain_words_are_joined_without_a_step_for_each():
+    own, text = bpe.Bpe(WORD), "the cat sat on a mat " * 2000
+    own.encode(text)
+    calls = []
+    sys.setprofile(lambda *event: calls.append(event[1]))
+    try:
+        own.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1000
+    assert own.encode(f"{text}<|endoftext|>a").tolist() == Tokenizer.from_file(WORD).encode(f"{text}<|endoftext|>a", add_special_tokens=False).ids
+
+
 def test_bpe_query_and_odd_rows(spark, texts):
     library = Tokenizer.from_file(BYTE)
     odd = [(i, t, "x") for i, t in enumerate(ODD_TEXTS)] + [(None, "again", "y"), (0, None, "z")]
