@@ -102,7 +102,8 @@ def links(prints: DataFrame, column: str, distance: int = DISTANCE) -> DataFrame
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with one flipped bit cover distances 0 to 3")
-    table = _halves(prints.select(F.col(column).alias("f")).where("f IS NOT NULL").distinct())
+    # merge: Spark takes an exploded table for as small as what it came from and would send it, and with 33 rows for each what it asks, to all
+    table = _halves(prints.select(F.col(column).alias("f")).where("f IS NOT NULL").distinct()).hint("merge")
     sizes = table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > JOINED)
     small = sizes.where((F.col("n") <= JOINED))

@@ -72,6 +72,20 @@ def test_large_entries_give_the_same_links(spark, monkeypatch, joined, block):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_asked_halves_are_not_sent_to_all(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(simhash, "checkpointed", seen)
+    edges = simhash.links(spark.range(3000).select((2654435761 * graph.F.col("id")).alias("p")), "p")
+    assert edges.columns == ["a", "b"] and len(plans) == 1
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     rows = simhash.near_duplicates(odd, words=3).collect()
     assert len(rows) == odd.count()
