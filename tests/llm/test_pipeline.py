@@ -6,6 +6,7 @@ import sys
 
 import brute
 import corpus_pipeline
+from featureflow.llm import simhash
 from test_tokens_pages_vectors import _held
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -47,6 +48,21 @@ def test_stages_on_odd_rows(spark):
     assert packed.count() >= 8 and packed.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
 
 
+def test_near_dedup_sends_no_exploded_halves(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(simhash, "checkpointed", seen)
+    docs = spark.read.parquet(f"{brute.FOLDER}/documents.parquet")
+    assert 0 < corpus_pipeline.near_dedup(spark, docs, brute.FOLDER).count() <= docs.count()
+    asked = [p for p in plans if "Generate explode(concat(" in p and "SortMergeJoin" in p]
+    assert asked and not any("BroadcastHashJoin" in p for p in asked)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     code = (
         "import sys; sys.modules['corpus_pipeline'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; "
